@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import quality_rules
+from lexiloom.llm import mixing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality_rules.query,
+        "op6_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.oracle(),
+        "op6_mixing": mixing.oracle(),
     }
