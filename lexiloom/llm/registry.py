@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import mixing, quality_rules
+from lexiloom.llm import mixing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality_rules.query,
         "op6_mixing": mixing.query,
+        "op7_substring_dedup": substring_dedup.query,
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.oracle(),
         "op6_mixing": mixing.oracle(),
+        "op7_substring_dedup": substring_dedup.oracle(),
     }
