@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import mixing, quality_rules, substring_dedup
+from lexiloom.llm import license_scan, mixing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality_rules.query,
         "op6_mixing": mixing.query,
         "op7_substring_dedup": substring_dedup.query,
+        "op10_license_scan": license_scan.query,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.oracle(),
         "op6_mixing": mixing.oracle(),
         "op7_substring_dedup": substring_dedup.oracle(),
+        "op10_license_scan": license_scan.oracle(),
     }
