@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import license_scan, mixing, near_dedup, quality_rules, substring_dedup
+from lexiloom.llm import license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality_rules.query,
         "op4_near_dedup": near_dedup.query,
+        "op5_sentencepiece": sentencepiece_codec.query,
         "op6_mixing": mixing.query,
         "op7_substring_dedup": substring_dedup.query,
         "op10_license_scan": license_scan.query,
