@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup
+from lexiloom.llm import license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_topk_search": topk_search.query,
         "op3_quality_rules": quality_rules.query,
         "op4_near_dedup": near_dedup.query,
         "op5_sentencepiece": sentencepiece_codec.query,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk_search": topk_search.oracle(),
         "op3_quality_rules": quality_rules.oracle(),
         "op6_mixing": mixing.oracle(),
         "op7_substring_dedup": substring_dedup.oracle(),
