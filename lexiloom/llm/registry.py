@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
+from lexiloom.llm import importance_resampling, license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance_resampling": importance_resampling.query,
         "op2_topk_search": topk_search.query,
         "op3_quality_rules": quality_rules.query,
         "op4_near_dedup": near_dedup.query,

@@ -113,3 +113,19 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, size: int = 5) -> list[
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+_CLASS = np.full(256, 2, np.uint8)  # 0: space, 1: letters, digits, _ and all bytes of other characters, 2: the rest
+_CLASS[_SPACE] = 0
+_CLASS[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As spans(), for maximal runs of word characters and of punctuation."""
+    kind = _CLASS[data]
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = kind[1:] != kind[:-1]
+    cut[offsets] = True
+    edges = np.flatnonzero(cut)
+    full = kind[edges[:-1]] > 0 if len(data) else np.zeros(0, bool)
+    starts, ends = edges[:-1][full], edges[1:][full]
+    return starts, ends, np.searchsorted(starts, offsets)
