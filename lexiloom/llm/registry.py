@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import importance_resampling, language_id, license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
+from lexiloom.llm import html_layout, importance_resampling, language_id, license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.query,
         "op7_substring_dedup": substring_dedup.query,
         "op8_language_id": language_id.query,
+        "op9_html_layout": html_layout.query,
         "op10_license_scan": license_scan.query,
     }
 
