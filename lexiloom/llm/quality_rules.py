@@ -101,9 +101,13 @@ def verdict(f: Column, rules=RULES) -> Column:
 
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns.
+
+    The test is tied to a random number (always true) since the optimizer would otherwise push it below the projections
+    that derive the figures and so repeat their expressions many times over.
+    """
     name = _free(docs, "__figures")
-    return measure(docs, text, name).where(verdict(F.col(name))).drop(name)
+    return measure(docs, text, name).where(F.when(F.rand(0) >= 0, verdict(F.col(name)))).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
