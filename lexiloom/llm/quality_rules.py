@@ -103,11 +103,12 @@ def verdict(f: Column, rules=RULES) -> Column:
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns.
 
-    The test is tied to a random number (always true) since the optimizer would otherwise push it below the projections
-    that derive the figures and so repeat their expressions many times over.
+    Rows are dropped by explode and not by a filter, which the optimizer would push below the projections that derive
+    the figures and so repeat their expressions many times over.
     """
-    name = _free(docs, "__figures")
-    return measure(docs, text, name).where(F.when(F.rand(0) >= 0, verdict(F.col(name)))).drop(name)
+    name, ok = _free(docs, "__figures"), _free(docs, "__ok")
+    passed = F.filter(F.array(verdict(F.col(name))), lambda x: x)
+    return measure(docs, text, name).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(passed).alias(ok)).drop(ok)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
