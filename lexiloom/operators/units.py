@@ -62,8 +62,9 @@ def with_word(docs: DataFrame, word: str, mode: str = "exact") -> DataFrame:
 
 
 def clean_body(body: Column) -> Column:
-    """The body up to the first appendix header on a line of its own."""
-    return F.regexp_replace(body, r"(?isu)\n\s*(?:" + "|".join(APPENDIX) + r")\s*\n.*$|\s+\z(?<=\n\s{0,99})", "")
+    """The body up to the first appendix header on a line of its own, without white space before it."""
+    cut = F.regexp_replace(body, r"(?isu)\n\s*(?:" + "|".join(APPENDIX) + r")\s*\n.*$", "")
+    return F.when(cut != body, F.regexp_replace(cut, f"{T.WHITE}+$", "")).otherwise(body)
 
 
 def is_junk(title: Column, body: Column) -> Column:
