@@ -9,10 +9,12 @@ A text's set is its distinct 5-word shingles (A-Z lower-cased; a shorter text is
    eight longs, drops candidates estimated under ESTIMATE: six standard deviations below the limit.
 4. The rest are confirmed on full sets (100 * intersection >= 85 * union), streamed through sorted partitions.
 
-A band's members are never paired off: each round compares them with one pivot a band, only across components found so
-far (ROUNDS rounds, pivots by hash after the first), and bands that are by then in one component are done. What is left
-is the few bands whose members differ, and in them all pairs across components are compared by sketch, in cells of
-CELL x CELL members, so no link between candidates is lost and no task holds more than two cells.
+A band's members are never paired off. Each is first compared with its band's least member, which links most copies;
+bands that are by then in one component are done. In the others the sketches of members meet in cells of CELL x CELL,
+which give only a spanning forest of the components whose members are close, so at most a row a member. The members with
+a close partner elsewhere then meet by the clusters of that forest, again in cells, with their full sets: what passes the
+estimate is counted exactly in place, and again only a spanning forest of confirmed links leaves a cell. So no link
+between candidates is lost, no pair list grows with the square of a group, and no task holds more than two cells.
 A pair at J = 0.85 shares no band with probability (1 - 0.85^ROWS)^BANDS = 9e-7.
 
 Scale: texts are scanned once for signatures and moved once (only those in a shared band) for confirmation; hot pivots
@@ -40,7 +42,7 @@ from lexiloom.runtime import ship
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, BITS = 36, 7, 512
 ESTIMATE = 0.62
-ROUNDS, CELL, SALT = 2, 512, 64
+CELL, SALT = 256, 64
 
 _SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
 _RNG = np.random.Generator(np.random.PCG64(11))
@@ -166,36 +168,101 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_confirm, "a long, b long")
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell (key, i, j), side 0 first; gives pairs (a, b), a > b, across components whose sketches are close."""
-    limit = most_bits()
-
-    def pairs(rows: list) -> list[tuple[int, int]]:
-        side = np.array([r[1] for r in rows])
-        node, comp, pivot = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
-        sketch = np.array([r[5:] for r in rows], np.int64).view(np.uint64)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        out = []
-        for x in left:
-            ok = (comp[right] != comp[x]) & (node[right] != node[x]) & (node[right] != pivot[x]) & (node[x] != pivot[x])
-            ok[ok] = np.bitwise_count(sketch[right[ok]] ^ sketch[x]).sum(axis=1) <= limit
-            out += [(max(int(node[x]), y), min(int(node[x]), y)) for y in node[right[ok]].tolist()]
-        return out
-
-    held, key = [], None
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        cols = [c.to_pylist() for c in batch.columns]
-        for row in zip(*cols, strict=True):
-            if row[0] != key:
-                found += pairs(held) if held else []
-                held, key = [], row[0]
-            held.append(row)
-        found = sorted(set(found))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
-    found = sorted(set(pairs(held))) if held else []
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+class _Forest:
+    """Union-find over the labels of one cell."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cellwise(judge):
+    """Runs judge(rows) on each cell of partitions sorted by (cell, side), and emits its (a, b) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple[int, int | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int | None]] = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and row[0] != held[0][0]:
+                    found += judge(held)
+                    held = []
+                held.append(row)
+            yield out(found)
+        if held:
+            yield out(judge(held))
+
+    return run
+
+
+def _partners(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components, sketches, and the two sides of a cell (one side against itself if there is only one)."""
+    side = np.array([r[1] for r in rows])
+    node, comp = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+    sketch = np.array([r[4 : 4 + BITS // 64] for r in rows], np.int64).view(np.uint64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return node, comp, sketch, left, right if len(right) else left
+
+
+def _close_cells(rows: list[tuple]) -> list[tuple[int, int | None]]:
+    """(component, component) of a spanning forest of the close ones, and (node, null) of nodes with a close partner."""
+    _, comp, sketch, left, right = _partners(rows)
+    forest, edges, active = _Forest(), [], np.zeros(len(rows), bool)
+    for x in left:
+        other = right[comp[right] != comp[x]]
+        other = other[np.bitwise_count(sketch[other] ^ sketch[x]).sum(axis=1) <= most_bits()]
+        if len(other):
+            active[x] = True
+            active[other] = True
+            edges += [(int(comp[x]), c) for c in np.unique(comp[other]).tolist() if forest.join(int(comp[x]), c)]
+    return [*edges, *((rows[i][2], None) for i in np.flatnonzero(active))]
+
+
+def _linked_cells(rows: list[tuple]) -> list[tuple[int, int | None]]:
+    """Confirmed (node, node) of a spanning forest of the components of a cell; the last field of a row is its text."""
+    node, comp, sketch, left, right = _partners(rows)
+    sets = [s for _, some in sets_of(pa.array([r[-1] for r in rows], pa.string())) for s in some]
+    size = np.array([len(s) for s in sets])
+    at = np.r_[0, np.cumsum(size)]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mine, forest, links = np.zeros(int(ids.max()) + 1, bool), _Forest(), []
+    for x in left:
+        roots = np.array([forest.root(c) for c in comp[right].tolist()])
+        other = right[roots != forest.root(int(comp[x]))]
+        other = other[np.bitwise_count(sketch[other] ^ sketch[x]).sum(axis=1) <= most_bits()]
+        if not len(other):
+            continue
+        own = ids[at[x] : at[x + 1]]
+        mine[own] = True
+        flat = np.concatenate([ids[at[y] : at[y + 1]] for y in other])
+        both = np.add.reduceat(mine[flat].astype(np.int64), np.cumsum(np.r_[0, size[other][:-1]]))
+        mine[own] = False
+        for y in other[100 * both >= PERCENT * (size[x] + size[other] - both)]:
+            if forest.join(int(comp[x]), int(comp[y])):
+                links.append((max(int(node[x]), int(node[y])), min(int(node[x]), int(node[y]))))
+    return links
+
+
+def _celled(members: DataFrame, group: str, count: str, columns: list[str]) -> DataFrame:
+    """Members of each group dealt to cells of CELL x CELL: cell, side, and the columns."""
+    blocks = F.ceil(F.col(count) / CELL)
+    rows = members.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cell = F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))
+    return rows.select(cell.alias("cell"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,32 +291,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         found = None if near.isEmpty() else scratch.save(confirm(near, some), name)
         return None if found is None or found.isEmpty() else found
 
-    links, known = None, None
-    for k in range(ROUNDS + 1):
-        if known is None:
-            pairs = banded.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        else:
-            now = banded.join(known, banded["rep"] == known["node"], "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
-            many = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "component")).alias("p"))
-            many = scratch.save(many.where("x != y").select("key", "members", F.col("p.rep").alias("p"), F.col("p.component").alias("pc")), f"open-{k}")
-            if many.isEmpty():
-                break
-            now = now.join(many, "key")
-            if k < ROUNDS:
-                pairs = now.where("component != pc and rep != pivot and p != pivot").select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
-            else:
-                cells = F.ceil(F.col("members") / CELL)
-                mine = F.pmod(F.xxhash64("rep"), cells)
-                rest = now.join(sketches, "rep").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
-                cell = F.struct("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-                rest = rest.select(F.xxhash64(cell).alias("cell"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "component", "pivot", *sketch)
-                pairs = rest.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_cells, "a long, b long").distinct()
-        found = tested(pairs, f"links-{k}")
-        if found is None and known is not None:
-            continue
-        found = found if found is not None else spark.createDataFrame([], "a long, b long")
-        links = found if links is None else links.union(found)
-        known = scratch.save(components(links, scratch, f"stars-{k}"), f"components-{k}")
+    links = tested(banded.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "links-0")
+    links = links if links is not None else spark.createDataFrame([], "a long, b long")
+    known = scratch.save(components(links, scratch, "stars-0"), "components-0")
+
+    now = banded.join(known, banded["rep"] == known["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    many = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+    many = scratch.save(many.where("x != y").select("key", "members"), "open")
+    members = _celled(now.join(many, "key").join(sketches, "rep"), "key", "members", ["rep", "component", *sketch])
+    found = members.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_cellwise(_close_cells), "a long, b long")
+    found = scratch.save(found.distinct(), "close")
+    if not found.isEmpty():
+        clusters = scratch.save(components(found.where("b is not null"), scratch, "clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clustered")
+        active = found.where("b is null").select(F.col("a").alias("rep"))
+        active = active.join(known, active["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("component")).join(clusters, "component")
+        active = scratch.save(active, "active")
+        sizes = scratch.save(active.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "sizes")
+        members = active.join(sizes, "cluster").join(sketches, "rep").join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        members = _celled(members, "cluster", "members", ["rep", "component", *sketch, "text"])
+        more = scratch.save(members.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_cellwise(_linked_cells), "a long, b long"), "links-1")
+        if not more.isEmpty():
+            known = scratch.save(components(links.union(more), scratch, "stars-1"), "components-1")
 
     named = classes.join(known, classes["rep"] == known["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
     out = signed.join(scratch.save(named, "named"), ["f1", "f2"], "left")
