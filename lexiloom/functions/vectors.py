@@ -51,10 +51,14 @@ def _over(a: Column, b: Column, other: float) -> Column:
     return F.when(b == 0, F.lit(other)).otherwise(a / F.when(b != 0, b))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, and not again for each element of a lambda inside f."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def unit(v: Column) -> Column:
     """A zero vector stays."""
-    n = l2(v)
-    return F.transform(v, lambda x: F.when(n == 0, x).otherwise(x / F.when(n != 0, n)))
+    return let(l2(v), lambda n: F.transform(v, lambda x: F.when(n == 0, x).otherwise(x / F.when(n != 0, n))))
 
 
 def mean(v: Column) -> Column:
@@ -62,13 +66,11 @@ def mean(v: Column) -> Column:
 
 
 def std(v: Column) -> Column:
-    m = mean(v)
-    return F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v))
+    return let(mean(v), lambda m: F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v)))
 
 
 def zscore(v: Column) -> Column:
-    m, s = mean(v), std(v)
-    return F.transform(v, lambda x: _over(x - m, s, 0.0))
+    return let(F.struct(mean(v).alias("m"), std(v).alias("s")), lambda k: F.transform(v, lambda x: _over(x - k["m"], k["s"], 0.0)))
 
 
 def cosine(a: Column, b: Column, zero: float = 0.0) -> Column:
@@ -131,9 +133,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    ma, mb = mean(a), mean(b)
-    x, y = F.transform(a, lambda v: v - ma), F.transform(b, lambda v: v - mb)
-    return _over(dot(x, y), l2(x) * l2(y), 0.0)
+    centred = lambda v: let(mean(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(F.struct(centred(a).alias("x"), centred(b).alias("y")), lambda k: _over(dot(k["x"], k["y"]), l2(k["x"]) * l2(k["y"]), 0.0))
 
 
 def complex_cosine(re1: Column, im1: Column, re2: Column, im2: Column) -> Column:

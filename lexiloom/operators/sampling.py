@@ -43,18 +43,19 @@ def cap_per_group_spaced(units: DataFrame, most: int, group: str, key: list[str]
         levels.append(d)
         d //= 2
     levels.append(0)
-    item = F.struct(F.col(start).cast("int").alias("start"), *[F.col(k) for k in key])
+    item = F.struct(F.col(start).cast("int").alias("__start"), *[F.col(k) for k in key])
     grouped = units.groupBy(group).agg(F.collect_list(item).alias("__all"))
 
     def pick(acc: Column, level: Column) -> Column:
         shuffled = F.array_sort(F.transform("__all", lambda u: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), level.cast("string"), *[u[k].cast("string") for k in key])).alias("h"), u.alias("u"))))
-        far = lambda acc, u: ~F.exists(acc, lambda x: (x == u) | (F.abs(x["start"] - u["start"]) < level))
+        far = lambda acc, u: ~F.exists(acc, lambda x: (x == u) | (F.abs(x["__start"] - u["__start"]) < level))
         return F.aggregate(shuffled, acc, lambda a, s: F.when((F.size(a) < most) & far(a, s["u"]), F.array_append(a, s["u"])).otherwise(a))
 
     none = F.filter("__all", lambda u: F.lit(False))
     picked = F.when(F.size("__all") <= most, F.col("__all")).otherwise(F.aggregate(F.array(*map(F.lit, levels)), none, pick))
-    chosen = grouped.select(F.explode(picked).alias("u")).select(*[F.col(f"u.{k}").alias(k) for k in key])
-    return units.join(chosen, key)
+    on = list(dict.fromkeys([group, *key]))
+    chosen = grouped.select(group, F.explode(picked).alias("u")).select(*[F.col(k if k == group else f"u.{k}").alias(k) for k in on])
+    return units.join(chosen, on)
 
 
 def summary(units: DataFrame, group: str) -> DataFrame:

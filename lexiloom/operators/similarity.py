@@ -12,8 +12,8 @@ from lexiloom.functions import vectors as V
 def unit_rows(rows: DataFrame, word: str, idx: str, vector: str) -> DataFrame:
     """(word, idx, u): unit vectors; a zero vector has NaN components, as a contour's cosine does."""
     v = V.doubles(F.col(vector))
-    n = V.l2(v)
-    return rows.where(F.col(vector).isNotNull()).select(F.col(word).alias("word"), F.col(idx).alias("idx"), F.transform(v, lambda x: F.when(n == 0, F.lit(V.NAN)).otherwise(x / F.when(n != 0, n))).alias("u"))
+    u = V.let(V.l2(v), lambda n: F.transform(v, lambda x: F.when(n == 0, F.lit(V.NAN)).otherwise(x / F.when(n != 0, n))))
+    return rows.where(F.col(vector).isNotNull()).select(F.col(word).alias("word"), F.col(idx).alias("idx"), u.alias("u"))
 
 
 def pairs(units: DataFrame) -> DataFrame:

@@ -102,16 +102,17 @@ def kwic(seg: DataFrame, mode: str = "chars", size: int = 50) -> DataFrame:
     n = F.length(body)
     if mode == "chars":
         return _window(seg, F.greatest(start - size, F.lit(0)), F.least(end + size, n))
-    if mode == "words":
-        before = F.regexp_extract(F.substring(body, F.lit(1), start), rf"(?:\S+\s+){{0,{size}}}\S*$", 0)
+    prefix, suffix = F.substring(body, F.lit(1), start), F.substring(body, end + 1, n)
+    if mode == "words":  # counted from the token that holds the start
+        before = F.regexp_extract(F.reverse(prefix), rf"^\S*(?:\s+\S+){{0,{size}}}", 0)
         after = F.regexp_extract(F.substring(body, start + 1, n), rf"^\S+(?:\s+\S+){{0,{size}}}", 0)
         return _window(seg, start - F.length(before), F.when(F.length(after) > 0, start + F.length(after)).otherwise(end))
-    delimiter = {"sentence": CUT, "paragraph": r"\n\s*\n"}.get(mode)
-    if delimiter is None:
-        raise ValueError("mode must be chars, words, sentence or paragraph")
-    cuts = T.matches(body, delimiter)
-    stops = F.transform(T.matches(body, r"[.!?]+"), lambda m: m["end"]) if mode == "sentence" else F.transform(cuts, lambda m: m["start"])
-    seg = seg.withColumn("__a", F.transform(cuts, lambda m: m["end"])).withColumn("__b", stops)
-    a = F.coalesce(F.array_max(F.filter("__a", lambda x: x <= start)), F.lit(0))
-    b = F.coalesce(F.array_min(F.filter("__b", lambda x: x >= end)), n)
-    return _window(seg, a, b)
+    if mode == "sentence":
+        a = F.length(F.regexp_extract(prefix, r"(?s)^.*[.!?]+\s+", 0))
+        stop = F.length(F.regexp_extract(suffix, r"^[^.!?]*[.!?]+", 0))
+        return _window(seg, a, F.when(stop > 0, end + stop).otherwise(n))
+    if mode == "paragraph":
+        a = F.length(F.regexp_extract(prefix, r"(?s)^.*\n\s*\n", 0))
+        stop = F.regexp_extract(suffix, r"(?s)^(.*?)\n\s*\n", 1)
+        return _window(seg, a, F.when(suffix.rlike(r"\n\s*\n"), end + F.length(stop)).otherwise(n))
+    raise ValueError("mode must be chars, words, sentence or paragraph")
