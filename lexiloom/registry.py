@@ -1,4 +1,4 @@
-"""Names, queries and SQL of the reference's operators."""
+"""Names, queries and SQL of the corpus and vector operators."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom import queries_models, queries_text, queries_vectors
+
+_PARTS = (queries_text, queries_vectors, queries_models)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.oracle_sql().items()}
