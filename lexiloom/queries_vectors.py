@@ -45,39 +45,38 @@ def _prob(v: Column) -> Column:
     return V.let(V.l1(v), lambda n: F.transform(v, lambda x: F.abs(x) / n))
 
 
-a, b, v = F.col("a"), F.col("b"), F.col("v")
-_UNARY: dict[str, tuple[Column, str]] = {
-    "vec_norm_l2": (V.l2(v), "sqrt(list_inner_product(v, v))"),
-    "vec_norm_l1": (V.l1(v), "list_sum(list_transform(v, lambda x: abs(x)))"),
-    "vec_norm_linf": (V.linf(v), "list_max(list_transform(v, lambda x: abs(x)))"),
-    "vec_mean": (V.mean(v), "list_sum(v) / len(v)"),
-    "vec_std": (V.std(v), "(SELECT sqrt(avg(x * x) - avg(x) * avg(x)) FROM (SELECT unnest(v) AS x))"),
+_UNARY: dict[str, tuple] = {
+    "vec_norm_l2": (lambda v: V.l2(v), "sqrt(list_inner_product(v, v))"),
+    "vec_norm_l1": (lambda v: V.l1(v), "list_sum(list_transform(v, lambda x: abs(x)))"),
+    "vec_norm_linf": (lambda v: V.linf(v), "list_max(list_transform(v, lambda x: abs(x)))"),
+    "vec_mean": (lambda v: V.mean(v), "list_sum(v) / len(v)"),
+    "vec_std": (lambda v: V.std(v), "(SELECT sqrt(avg(x * x) - avg(x) * avg(x)) FROM (SELECT unnest(v) AS x))"),
 }
-_BINARY: dict[str, tuple[Column, str]] = {
-    "vec_dot": (V.dot(a, b), "list_inner_product(a, b)"),
-    "sim_cosine": (V.cosine(a, b), "list_cosine_similarity(a, b)"),
-    "dist_euclid": (V.euclidean(a, b), "list_distance(a, b)"),
-    "dist_manhattan": (V.manhattan(a, b), f"list_sum(list_transform({_D}, lambda x: abs(x)))"),
-    "dist_minkowski": (V.minkowski(a, b, 3), f"pow(list_sum(list_transform({_D}, lambda x: pow(abs(x), 3))), 1.0::DOUBLE / 3)"),
-    "dist_chebyshev": (V.chebyshev(a, b), f"list_max(list_transform({_D}, lambda x: abs(x)))"),
-    "dist_weighted": (V.weighted_minkowski(a, b, F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: i.cast("double")), 2), f"sqrt(list_sum(list_transform(list_zip({_D}, range(1, {WIDTH + 1})), lambda p: p[2] * p[1] * p[1])))"),
-    "dist_angular": (V.angular(a, b), "acos(greatest(-1.0, least(1.0, list_cosine_similarity(a, b)))) / pi()"),
-    "sim_pearson": (V.pearson(a, b), f"list_cosine_similarity(list_transform(a, lambda x: x - {_MEAN('a')}), list_transform(b, lambda x: x - {_MEAN('b')}))"),
-    "sim_jaccard": (V.jaccard(F.transform(a, lambda x: F.floor(x * 4)), F.transform(b, lambda x: F.floor(x * 4))), f"list_sum(list_transform({_Z.format('p[1]')}, lambda x: 0)) + (list_sum({_Z.format('(floor(p[1] * 4) <> 0 AND floor(p[2] * 4) <> 0)::INT')})::DOUBLE / list_sum({_Z.format('(floor(p[1] * 4) <> 0 OR floor(p[2] * 4) <> 0)::INT')}))"),
-    "div_kl": (V.kl(_prob(a), _prob(b)), f"list_sum(list_transform(list_zip({_POS('a')}, {_POS('b')}), lambda p: greatest(p[1], 1e-12) * ln(greatest(p[1], 1e-12) / greatest(p[2], 1e-12))))"),
-    "dist_hellinger": (V.hellinger(_prob(a), _prob(b)), f"sqrt(list_sum(list_transform(list_zip({_POS('a')}, {_POS('b')}), lambda p: pow(sqrt(p[1]) - sqrt(p[2]), 2)))) / sqrt(2)"),
+_BINARY: dict[str, tuple] = {
+    "vec_dot": (lambda a, b: V.dot(a, b), "list_inner_product(a, b)"),
+    "sim_cosine": (lambda a, b: V.cosine(a, b), "list_cosine_similarity(a, b)"),
+    "dist_euclid": (lambda a, b: V.euclidean(a, b), "list_distance(a, b)"),
+    "dist_manhattan": (lambda a, b: V.manhattan(a, b), f"list_sum(list_transform({_D}, lambda x: abs(x)))"),
+    "dist_minkowski": (lambda a, b: V.minkowski(a, b, 3), f"pow(list_sum(list_transform({_D}, lambda x: pow(abs(x), 3))), 1.0::DOUBLE / 3)"),
+    "dist_chebyshev": (lambda a, b: V.chebyshev(a, b), f"list_max(list_transform({_D}, lambda x: abs(x)))"),
+    "dist_weighted": (lambda a, b: V.weighted_minkowski(a, b, F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: i.cast("double")), 2), f"sqrt(list_sum(list_transform(list_zip({_D}, range(1, {WIDTH + 1})), lambda p: p[2] * p[1] * p[1])))"),
+    "dist_angular": (lambda a, b: V.angular(a, b), "acos(greatest(-1.0, least(1.0, list_cosine_similarity(a, b)))) / pi()"),
+    "sim_pearson": (lambda a, b: V.pearson(a, b), f"list_cosine_similarity(list_transform(a, lambda x: x - {_MEAN('a')}), list_transform(b, lambda x: x - {_MEAN('b')}))"),
+    "sim_jaccard": (lambda a, b: V.jaccard(F.transform(a, lambda x: F.floor(x * 4)), F.transform(b, lambda x: F.floor(x * 4))), f"list_sum(list_transform({_Z.format('p[1]')}, lambda x: 0)) + (list_sum({_Z.format('(floor(p[1] * 4) <> 0 AND floor(p[2] * 4) <> 0)::INT')})::DOUBLE / list_sum({_Z.format('(floor(p[1] * 4) <> 0 OR floor(p[2] * 4) <> 0)::INT')}))"),
+    "div_kl": (lambda a, b: V.kl(_prob(a), _prob(b)), f"list_sum(list_transform(list_zip({_POS('a')}, {_POS('b')}), lambda p: greatest(p[1], 1e-12) * ln(greatest(p[1], 1e-12) / greatest(p[2], 1e-12))))"),
+    "dist_hellinger": (lambda a, b: V.hellinger(_prob(a), _prob(b)), f"sqrt(list_sum(list_transform(list_zip({_POS('a')}, {_POS('b')}), lambda p: pow(sqrt(p[1]) - sqrt(p[2]), 2)))) / sqrt(2)"),
     "complex_cosine": (
-        V.complex_cosine(F.slice(a, 1, 32), F.slice(a, 33, 32), F.slice(b, 1, 32), F.slice(b, 33, 32)),
+        lambda a, b: V.complex_cosine(F.slice(a, 1, 32), F.slice(a, 33, 32), F.slice(b, 1, 32), F.slice(b, 33, 32)),
         "list_inner_product(a, b) / sqrt(list_inner_product(a, a)) / sqrt(list_inner_product(b, b))",
     ),
 }
-_VECTORS: dict[str, tuple[Column, str]] = {
-    "vec_add": (V.add(a, b), _Z.format("p[1] + p[2]")),
-    "vec_sub": (V.subtract(a, b), _D),
-    "vec_scale": (V.scale(a, 2.5), "list_transform(a, lambda x: x * 2.5::DOUBLE)"),
-    "vec_unit": (V.unit(a), "list_transform(a, lambda x: x / sqrt(list_inner_product(a, a)))"),
-    "vec_zscore": (V.zscore(a), f"list_transform(a, lambda x: (x - {_MEAN('a')}) / sqrt(list_inner_product(a, a) / len(a) - {_MEAN('a')} * {_MEAN('a')}))"),
-    "vec_analogy": (V.analogy(a, b, a), _Z.format("p[1] - p[2] + p[1]")),
+_VECTORS: dict[str, tuple] = {
+    "vec_add": (lambda a, b: V.add(a, b), _Z.format("p[1] + p[2]")),
+    "vec_sub": (lambda a, b: V.subtract(a, b), _D),
+    "vec_scale": (lambda a, b: V.scale(a, 2.5), "list_transform(a, lambda x: x * 2.5::DOUBLE)"),
+    "vec_unit": (lambda a, b: V.unit(a), "list_transform(a, lambda x: x / sqrt(list_inner_product(a, a)))"),
+    "vec_zscore": (lambda a, b: V.zscore(a), f"list_transform(a, lambda x: (x - {_MEAN('a')}) / sqrt(list_inner_product(a, a) / len(a) - {_MEAN('a')} * {_MEAN('a')}))"),
+    "vec_analogy": (lambda a, b: V.analogy(a, b, a), _Z.format("p[1] - p[2] + p[1]")),
 }
 
 
@@ -102,8 +101,8 @@ def _static(spark: SparkSession, sf: str) -> DataFrame:
 
 def _corr(spark: SparkSession, sf: str) -> DataFrame:
     e = emb(spark, sf)
-    x, y = e.select("label", F.col("vec_id").alias("i"), v.alias("a")), e.select("label", F.col("vec_id").alias("j"), v.alias("b"))
-    return x.join(y, "label").where("i < j").select("i", "j", _one(V.pearson(a, b), "r"))
+    x, y = e.select("label", F.col("vec_id").alias("i"), F.col("v").alias("a")), e.select("label", F.col("vec_id").alias("j"), F.col("v").alias("b"))
+    return x.join(y, "label").where("i < j").select("i", "j", _one(V.pearson(F.col("a"), F.col("b")), "r"))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -111,10 +110,10 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 _SPEC: dict[str, tuple] = {
-    **{k: (lambda s, d, e=e: emb(s, d).select("vec_id", _one(e)), _E + f" SELECT vec_id, round({q}, 8) AS value FROM e") for k, (e, q) in _UNARY.items()},
-    **{k: (lambda s, d, e=e: both(s, d).select("vec_id", _one(e)), _B + f" SELECT vec_id, round({q}, 8) AS value FROM b") for k, (e, q) in _BINARY.items()},
+    **{k: (lambda s, d, e=e: emb(s, d).select("vec_id", _one(e(F.col("v")))), _E + f" SELECT vec_id, round({q}, 8) AS value FROM e") for k, (e, q) in _UNARY.items()},
+    **{k: (lambda s, d, e=e: both(s, d).select("vec_id", _one(e(F.col("a"), F.col("b")))), _B + f" SELECT vec_id, round({q}, 8) AS value FROM b") for k, (e, q) in _BINARY.items()},
     **{
-        k: (lambda s, d, e=e: both(s, d).select("vec_id", F.posexplode(e).alias("dim", "x")).withColumn("x", F.round("x", 8)), _B + f" SELECT vec_id, unnest(range({WIDTH}))::INTEGER AS dim, round(unnest({q}), 8) AS x FROM b")
+        k: (lambda s, d, e=e: both(s, d).select("vec_id", F.posexplode(e(F.col("a"), F.col("b"))).alias("dim", "x")).withColumn("x", F.round("x", 8)), _B + f" SELECT vec_id, unnest(range({WIDTH}))::INTEGER AS dim, round(unnest({q}), 8) AS x FROM b")
         for k, (e, q) in _VECTORS.items()
     },
     **{f"pool_{how}": _pooled(how) for how in ("mean", "sum", "max", "first")},
