@@ -100,10 +100,11 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str
     left = docs.withColumn("__mix_size", word_count(F.col(text)))
     left = left.withColumn("__mix_key", key(F.col(id_col), _name(F.col(source)), F.col("__mix_size")))
     left = left.withColumn("__mix_n", F.row_number().over(W.partitionBy("__mix_key").orderBy(F.lit(0))))
+    # one join on the window's own key, so that each text moves once; rows that share a key share a short list
     right = taken.where("taken > 0").withColumn("__mix_key", key(F.col("doc_id"), F.col("name"), F.col("size")))
-    right = right.withColumn("__mix_n", F.row_number().over(W.partitionBy("__mix_key").orderBy(F.desc("taken"))))
-    right = right.select("__mix_key", "__mix_n", F.col("epochs").alias("__mix_epochs"), F.col("part").alias("__mix_part"))
-    rows = left.join(right, ["__mix_key", "__mix_n"])
+    right = right.groupBy("__mix_key").agg(F.sort_array(F.collect_list(F.struct("taken", "epochs", "part")), asc=False).alias("__mix_all"))
+    rows = left.join(right, "__mix_key").withColumn("__mix_own", F.get(F.col("__mix_all"), F.col("__mix_n") - 1))
+    rows = rows.withColumn("__mix_epochs", F.coalesce("__mix_own.epochs", F.lit(0))).withColumn("__mix_part", F.coalesce("__mix_own.part", F.lit(0)))
     none = F.array().cast("array<bigint>")
     whole = F.transform(F.array_repeat(F.lit(0), F.col("__mix_epochs").cast("int")), lambda _: F.col("__mix_size"))
     rows = rows.withColumn("__mix_cut", F.explode(F.concat(whole, F.when(F.col("__mix_part") > 0, F.array("__mix_part")).otherwise(none))))
@@ -120,7 +121,8 @@ def oracle() -> str:
     return rf"""
 WITH thin AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS name,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size FROM documents),
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size FROM documents),
 keyed AS (SELECT *, substr(md5('0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR), 1, {KEY_BITS // 4}) AS key FROM thin),
 s AS (SELECT name, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, ([{weights}])[((row_number() OVER (ORDER BY name)) - 1) % {len(WEIGHTS)} + 1] AS w
       FROM thin GROUP BY name),
