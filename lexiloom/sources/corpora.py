@@ -26,8 +26,8 @@ def from_table(df: DataFrame, doc_id: str, body: str, *meta: str) -> DataFrame:
 
 def files(spark: SparkSession, folder: str, extension: str = ".txt", recursive: bool = False) -> DataFrame:
     """(path, body): one row a file, the path relative to the folder."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{extension}").option("recursiveFileLookup", recursive)
-    rows = reader.text(folder).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("body"))
+    reader = spark.read.option("pathGlobFilter", f"*{extension}").option("recursiveFileLookup", recursive)
+    rows = reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("body"))
     root = re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/"
     return rows.select(F.regexp_replace(F.url_decode(F.regexp_replace("full", r"\+", "%2B")), r"^\w+:/*", "/").alias("full"), "body").select(F.expr(f"substring(full, {len(root) + 1})").alias("path"), "body")
 
@@ -70,7 +70,7 @@ def from_single_file(spark: SparkSession, path: str, separator: str = "", header
     """
     from pyspark.sql import Window as W
 
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parts = F.split("value", re.escape(separator).replace("\\\n", "\n"), -1) if separator else F.array("value")
     rows = raw.select(F.posexplode(parts).alias("i", "t")).select((F.col("i") + 1).alias("document_index"), F.trim(F.regexp_replace("t", r"^\s+|\s+$", "")).alias("t")).where("t <> ''")
     none = F.expr("map()").cast("map<string,string>")
@@ -110,7 +110,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON corpus, bare or within {summary, data}."""
     kind = "map<string, struct<body: string, meta: map<string, string>>>"
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     data = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
     rows = raw.select(F.explode(F.from_json(data, kind)).alias("doc_id", "d"))
     return rows.select("doc_id", "d.body", "d.meta")
