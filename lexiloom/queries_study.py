@@ -95,6 +95,14 @@ SELECT dim, round(share, 8) AS share, round(cumulative, 8) AS cumulative, (SELEC
         lambda s, d: _documents(s, d).select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).select(T.clean_token(F.col("w")).alias("token")).where("token <> ''").groupBy("token").count(),
         r"SELECT token, count(*) AS count FROM (SELECT regexp_replace(lower(w), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]', '', 'g') AS token FROM (SELECT unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS w FROM documents)) WHERE token <> '' GROUP BY token",
     ),
+    "marked_target": (
+        lambda s, d: _documents(s, d).where("text is not null").select("doc_id", F.md5(T.mark(F.split("text", r"[\x20\x09-\x0D]+"), F.lit(2)).cast("binary")).alias("marked")),
+        r"SELECT doc_id, md5(array_to_string(list_transform(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w, i: CASE WHEN i = 3 THEN '[TARGET]' || w || '[/TARGET]' ELSE w END), ' ')) AS marked FROM documents WHERE text IS NOT NULL",
+    ),
+    "short_lists": (
+        lambda s, d: _documents(s, d).groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("x")).select("lang", T.short_list(F.col("x"), 2).alias("sources")),
+        "SELECT lang, array_to_string(x[1:2], ', ') || CASE WHEN len(x) > 2 THEN '...' ELSE '' END AS sources FROM (SELECT lang, list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)) AS x FROM documents GROUP BY lang)",
+    ),
 }
 
 
