@@ -42,8 +42,12 @@ LISTS = frozenset("ul ol menu dir".split())
 GROUPS = frozenset("thead tbody tfoot".split())
 SCOPES = frozenset("table td th caption template button object".split())
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|([/!?]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# attributes by the rules of HTML: a quote opens a value only after "=", and nothing is tried twice
+_VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*"
+_REST = rf"(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:{_VALUE})?+)?+)*+"
+_TAG = re.compile(rf"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^ \t\n\f\r/>]*+)({_REST})(>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
+_ATTR = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:\"([^\"]*)\"?|'([^']*)'?|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*))?+)?+")
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[ \t\n\f\r/>])", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -55,6 +59,27 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where the end tag of a raw element begins; a script that opens a comment and a script in it ends after both."""
+    if tag != "script":
+        end = re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I).search(page, at)
+        return end.start() if end else len(page)
+    comment = inner = False
+    while m := _SCRIPT.search(page, at):
+        at = m.end()
+        if m.group() == "<!--":
+            comment, at = True, at - 2  # its dashes may be those of -->
+        elif m.group() == "-->":
+            comment = inner = False
+        elif not m.group(1):
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return m.start()
+    return len(page)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; texts are str among the kids."""
     root = Node("#root", {})
@@ -96,18 +121,14 @@ def parse(page: str) -> Node:
             pop_to(near[kind])
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(page, at):
         if m.start() > at:
             stack[-1][0].kids.append(html.unescape(page[at : m.start()]))
         at = m.end()
-        slash, tag, rest = m.group(1), m.group(2), m.group(3)
-        if not tag or slash in ("!", "?"):
+        slash, tag, rest, ended = m.groups()
+        if not tag or not ended:
             continue
         tag = tag.lower()
-        if not slash and (not m.group().endswith(">")):
-            continue
         if slash:
             kind = "td" if tag in ("td", "th") else "group" if tag in GROUPS else tag
             if tag == "br":
@@ -164,12 +185,12 @@ def parse(page: str) -> Node:
             continue
         push(tag, attrs, kind)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            body = page[at : end.start() if end else len(page)]
+            end = raw_end(page, tag, at)
+            body = page[at:end]
             if tag in ("textarea", "title"):
                 body = html.unescape(body)
             stack[-1][0].kids.append(body)
-            at = end.start() if end else len(page)
+            at = end
     if at < len(page):
         stack[-1][0].kids.append(html.unescape(page[at:]))
     return root

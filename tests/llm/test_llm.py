@@ -248,6 +248,23 @@ def test_html(spark):
     assert html_layout.extract(spark, d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<script>for(i=0;i<n;i++){}</script><p>Hello</p>", "Hello"),
+        ("<div>a<script>if(i<n&&b>'c'){}</script>b</div>", "ab"),
+        ("<script><!-- code </script><p>Hello", "Hello"),
+        ("<script><!-- x('<script></script>') --></script><p>Hello", "Hello"),
+        ("<script><!--> x('<script>') </script><p>Hello", "Hello"),
+        ("<style>a<b{content:'<!--'}</style><p>Hello", "Hello"),
+        ("<p>it's <b don't>one</b> <i title=\"a>b\" x='>'>two</i> don't", "it's one two don't"),
+        ("<p>a</p><a href=\"x>b<p>c</p>", "a"),
+    ],
+)
+def test_html_raw_elements(page, text):
+    assert html_layout.render(page)[0] == text
+
+
 def test_licences(spark):
     mit = license_scan.TEMPLATES["mit"]
     d = spark.createDataFrame([(1, "Copyright 2020 X\n\n" + mit), (2, "x\nReleased under the MIT license"), (3, None), (4, ""), (None, "All rights reserved"), (5, "all rights"), (6, LONG)], "doc_id long, text string")
