@@ -7,10 +7,19 @@ digits), and a unit's distinct bigrams (as 64-bit hashes) meet those of a templa
 Defined cases: null and empty texts and units of under two words have no bigrams and match nothing; a text of one line
 gives a row as a line and one as a text; ties go to the template later in name order; null ids are carried; repeated
 rows give repeated results; other columns are not read.
+
+``scan_runs`` finds what is wrapped over lines or stands inside a longer text: for each template, the runs of adjacent lines
+with the best coefficient. Texts that do not hold two thirds of a template's bigrams, which any match needs, are set aside by
+intersections of arrays; in the rest every line with a bigram of the template is tried as the first of a run, and every later
+line as the last. Its templates are those of ``scan`` and the full texts in the folder ``licences``.
+Defined cases: runs of one template that overlap give the best of them (ties: the earliest); a run holds at most
+twice the template's bigrams, repeats counted; otherwise as above.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +134,89 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold:
     return units.select("doc_id", unit, "line", "m.template", "m.dice", "n_bigrams", F.col("m.template_bigrams").cast("long").alias("template_bigrams"))
 
 
+def full_texts() -> dict[str, str]:
+    """Whole licences by name, as published."""
+    return {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
+
+def _pairs(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _longs(values) -> str:
+    return f"array({', '.join(f'{x}L' if x > -(2**63) else 'bigint(-9223372036854775808)' for x in values)})"
+
+
+def _best_end(start: Column) -> Column:
+    """The run from a start (line, k) with the best coefficient: at each line's last word, over the bigrams not met since k."""
+    ln, t = F.col("ln"), F.col("t")
+    part = F.slice("pos", start["k"] + 1, F.least(2 * t["words"], F.size("pos") - start["k"]))
+    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("h"), F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("last"), F.lit(0).alias("n")).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = (x["prev"] < start["k"]).cast("int")
+        a, h = s["a"] + new, s["h"] + new * x["hit"]
+        dice = 2.0 * h / (a + t["n"])
+        ends = F.coalesce(F.get(ln, x["k"] + 2) != F.get(ln, x["k"] + 1), F.lit(True))
+        best = F.when(ends & ((dice > s["best"]["dice"]) | ((dice == s["best"]["dice"]) & (x["hit"] == 1))), F.struct(dice.alias("dice"), F.get(ln, x["k"] + 1).alias("last"), a.alias("n"))).otherwise(s["best"])
+        return F.struct(a.alias("a"), h.alias("h"), best.alias("best"))
+
+    return F.aggregate(part, zero, step, lambda s: F.struct(s["best"]["dice"].alias("dice"), (-start["line"]).alias("back"), s["best"]["last"].alias("last"), s["best"]["n"].alias("n")))
+
+
+def scan_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
+    """A row for each run of lines that matches: doc_id, line, last_line (0-based), template, dice, n_bigrams, template_bigrams."""
+    templates = templates or TEMPLATES | full_texts()
+    extract = lambda x: F.regexp_extract_all(F.lower(x), F.lit(_WORDS), F.lit(0))
+    own = docs.sparkSession.range(1).select(*[_pairs(extract(F.lit(x))).alias(f"c{i}") for i, x in enumerate(templates.values())]).first()
+    share = threshold / (2 - threshold)  # of a template's bigrams, the least that a match holds
+    rows = [(name, len(b), sorted(set(b))) for name, b in zip(templates, own, strict=True)]
+    # two groups, so that few texts meet the many bigrams of whole licences
+    groups = [[r for r in rows if (len(r[2]) > 400) == large] for large in (False, True)]
+    tables, unions = [], []
+    for g in groups:
+        made = ", ".join(f"struct('{name}' AS name, {words} AS words, {len(b)} AS n, {_longs(b)} AS b)" for name, words, b in g)
+        tables.append(F.expr(f"array({made})") if g else None)
+        unions.append((min((len(b) for _, _, b in g), default=0) * share, F.expr(_longs(sorted({x for r in g for x in r[2]}))) if g else None))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), extract).alias("l"))
+    lines = lines.select("doc_id", "l", _pairs(F.flatten("l")).alias("b"))
+    met = [F.when(F.size("b") >= least, F.array_intersect("b", u)).alias(f"h{i}") for i, (least, u) in enumerate(unions) if u is not None]
+    lines = lines.select("doc_id", "l", "b", *met)
+    holds = lambda h: lambda t: (F.size(h) >= share * t["n"]) & (F.size(F.array_intersect(h, t["b"])) >= share * t["n"])
+    likely = [F.filter(made, holds(F.col(f"h{i}"))) for i, made in enumerate(tables) if made is not None]
+    likely = lines.select("doc_id", "l", "b", F.explode(F.concat(*likely)).alias("t"))
+    ln = F.flatten(F.transform("l", lambda x, i: F.array_repeat(i, F.size(x))))
+    order = F.array_sort(F.transform("b", lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
+    likely = likely.select("doc_id", "t", ln.alias("ln"), F.array_intersect("b", F.col("t")["b"]).alias("hits"), order.alias("o"))
+    before = lambda i: F.get(F.col("o"), i - 1)
+    pos = F.transform(
+        "o",
+        lambda x, i: F.struct(
+            x["k"].alias("k"), F.when(before(i)["h"] == x["h"], before(i)["k"]).otherwise(-1).alias("prev"), F.array_contains("hits", x["h"]).cast("int").alias("hit")
+        ),
+    )
+    likely = likely.select("doc_id", "t", "ln", F.array_sort(pos).alias("pos"))
+    firsts = F.filter(F.transform("ln", lambda x, k: F.struct(x.alias("line"), k.alias("k"))), lambda s: (s["k"] == 0) | (F.get(F.col("ln"), s["k"] - 1) != s["line"]))
+    touched = F.array_distinct(F.transform(F.filter("pos", lambda x: x["hit"] == 1), lambda x: F.get(F.col("ln"), x["k"])))
+    likely = likely.select("doc_id", "t", "ln", "pos", firsts.alias("firsts"), touched.alias("touched"))
+    starts = F.filter("firsts", lambda s: F.array_contains("touched", s["line"]))
+    likely = likely.select("doc_id", "t", F.transform(starts, _best_end).alias("runs"))
+    likely = likely.select("doc_id", "t", F.sort_array(F.filter("runs", lambda r: r["dice"] >= threshold), asc=False).alias("runs"))
+    apart = F.aggregate(
+        "runs", F.slice("runs", 1, 0), lambda got, x: F.when(F.exists(got, lambda y: (-y["back"] <= x["last"]) & (-x["back"] <= y["last"])), got).otherwise(F.concat(got, F.array(x)))
+    )
+    found = likely.select("doc_id", F.col("t.name").alias("template"), F.col("t.n").alias("size"), F.explode(apart).alias("r"))
+    return found.select(
+        "doc_id", (-F.col("r.back")).cast("long").alias("line"), F.col("r.last").cast("long").alias("last_line"), "template", "r.dice",
+        F.col("r.n").cast("long").alias("n_bigrams"), F.col("size").cast("long").alias("template_bigrams"),
+    )
+
+
+def query_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_runs(table(spark, sf_dir, "documents"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 

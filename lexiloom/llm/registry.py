@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.query,
         "op9_html_layout": html_layout.query,
         "op10_license_scan": license_scan.query,
+        "op10_license_runs": license_scan.query_runs,
     }
 
 

@@ -273,6 +273,34 @@ def test_licences(spark):
     assert license_scan.scan(d.limit(0)).count() == 0
 
 
+def test_licence_runs(spark):
+    import textwrap
+
+    mit, isc = ("\n".join(" * " + x for x in textwrap.wrap(license_scan.TEMPLATES[k], 60)) for k in ("mit", "isc"))
+    filler = "\n".join(f"some other line {i} of the text and its {i + 1} words" for i in range(150))
+    apache = license_scan.full_texts()["apache-2.0"]
+    texts = {1: f"{filler}\n{mit}\n{filler}\n\n{isc}\n{filler}", 2: f"{mit}\nx\n{filler}\n{mit}", 3: f"{filler}\n{apache}\n{filler}", 4: filler, 5: "", 6: None, 7: LONG, 8: "all rights\nreserved", 9: "word"}
+    d = spark.createDataFrame([*texts.items(), (None, texts[8])], "doc_id long, text string")
+    got = license_scan.scan_runs(d).collect()
+    at = lambda t, x: (t[: t.index(x)].count("\n"), t[: t.index(x)].count("\n") + x.count("\n"))
+    found = {(r.doc_id, r.template, r.line, r.last_line) for r in got}
+    assert {(1, "mit", *at(texts[1], mit)), (1, "isc", *at(texts[1], isc)), (8, "all-rights-reserved", 0, 1), (None, "all-rights-reserved", 0, 1)} <= found
+    n = mit.count("\n")
+    assert {(2, "mit", 0, n), (2, "mit", n + 152, 2 * n + 152)} <= found
+    assert (3, "apache-2.0") in {x[:2] for x in found} and not {x[0] for x in found} & {4, 5, 6, 7, 9}
+    # brute force over all runs of the first text
+    words = [re.findall(r"[^\W_]+", x.lower()) for x in texts[1].split("\n")]
+    own = set(license_scan._template_bigrams(license_scan.TEMPLATES["isc"]))
+    best = 0.0
+    for i in range(len(words)):
+        for j in range(i, min(i + 40, len(words))):
+            w = [y for x in words[i : j + 1] for y in x]
+            b = set(zip(w, w[1:], strict=False))
+            best = max(best, 2 * len(b & own) / (len(b) + len(own)))
+    assert [r.dice for r in got if (r.doc_id, r.template) == (1, "isc")] == [best]
+    assert license_scan.scan_runs(d.limit(0)).count() == 0
+
+
 def test_pipeline_brute_force(spark):
     import corpus_pipeline as cp
 
