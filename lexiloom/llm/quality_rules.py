@@ -4,6 +4,9 @@
 ``verdict`` compiles the rows of ``RULES`` over those figures. Null and empty texts measure 0 everywhere and fail the
 base rule; rows with a null id are kept as rows; input columns of any name are untouched, since figures travel in one
 struct column under a free name. Repeated rows are judged alike.
+
+Distinct words a word fall with the length of any text, so beyond ``BLOCK`` words that rule is held against the mean over
+blocks of ``BLOCK`` words (the rest at the end counts by its words); up to there it is the ratio over the whole text.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ RULES = (
     ("repeated_words", "n_repeat_words", "n_words", None, 0.3),
 )
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
+BLOCK = 1000
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_unique_words", "n_lines")
 
 
@@ -48,7 +52,7 @@ def _covered(pairs: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", into: str = "figures") -> DataFrame:
-    """docs and one struct column `into` with FIGURES (long)."""
+    """docs and one struct column `into` with FIGURES and n_unique_in_blocks (long)."""
     w, h, p, at = (_free(docs, f"__{x}") for x in ("w", "h", "p", "at"))
     t = F.coalesce(F.col(text), F.lit(""))
     stop = r"(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted(set(STOP_WORDS.split()))) + r")(?=[.,;:!?]?(?:[\x20\x09-\x0D]|$))"
@@ -71,6 +75,9 @@ def measure(docs: DataFrame, text: str = "text", into: str = "figures") -> DataF
         F.transform(spans, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(spans, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x
     )
     lines = F.col(w)["lines"]
+    unique = F.coalesce(F.size(F.array_distinct(h)), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / BLOCK).cast("int")), lambda i: F.size(F.array_distinct(F.slice(h, i * BLOCK + 1, BLOCK))))
+    in_blocks = F.when(F.size(h) > BLOCK, F.aggregate(blocks, F.lit(0), lambda s, x: s + x)).otherwise(unique)
     figures = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
@@ -78,8 +85,9 @@ def measure(docs: DataFrame, text: str = "text", into: str = "figures") -> DataF
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(reach, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.col(w)["stops"].cast("long").alias("n_stop_words"),
-        F.coalesce(F.size(F.array_distinct(h)), F.lit(0)).cast("long").alias("n_unique_words"),
+        unique.cast("long").alias("n_unique_words"),
         F.size(lines).cast("long").alias("n_lines"),
+        in_blocks.cast("long").alias("n_unique_in_blocks"),
     )
     out = docs.withColumn(w, first).withColumn(h, hashes).withColumn(p, windows).withColumn(p, pairs).withColumn(at, _covered(F.col(p)))
     return out.select(*[docs[f"`{c}`"] for c in docs.columns], figures.alias(into))
@@ -93,6 +101,7 @@ def verdict(f: Column, rules=RULES) -> Column:
     """True where the base rule and every row of the table hold."""
     ok = ~base_failed(f)
     for _, num, den, least, most in rules:
+        num = "n_unique_in_blocks" if num == "n_unique_words" else num
         if least is not None:
             ok &= f[num] >= F.lit(least) * f[den]
         if most is not None:

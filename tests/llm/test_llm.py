@@ -62,6 +62,21 @@ def test_rules(spark):
     assert (r.figures.n_repeat_words, r.figures.n_dup_lines, r.figures.n_lines) == (16, 1, 3)
 
 
+def test_quality_of_long_texts(spark):
+    """A long varied text passes, with 0.07 distinct words a word; a long text of few words does not."""
+    r = random.Random(1)
+    stops = "the of and to in".split()
+    novel = [w for _ in range(50000) for w in (r.choice(stops), f"w{r.randrange(7000)}")]
+    poor = [w for _ in range(50000) for w in (r.choice(stops), f"w{r.randrange(100)}")]
+    short = [f"the w{i % 10} of" for i in range(40)]
+    d = spark.createDataFrame([(1, " ".join(novel)), (2, " ".join(poor)), (3, " ".join(novel[:1000])), (4, " ".join(novel[:1001])), (5, " ".join(short))], "doc_id long, text string")
+    got = {x.doc_id: x.figures for x in quality_rules.measure(d).collect()}
+    assert len(set(novel)) < 0.1 * len(novel) and got[1].n_unique_words == len(set(novel))
+    for k, words in ((1, novel), (2, poor), (3, novel[:1000]), (4, novel[:1001])):
+        assert got[k].n_unique_in_blocks == sum(len(set(words[i : i + 1000])) for i in range(0, len(words), 1000))
+    assert sorted(x.doc_id for x in quality_rules.filter_quality(d).collect()) == [1, 3, 4]
+
+
 def shingle_set(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
