@@ -6,6 +6,10 @@ lines where browsers have margins, list markers and indentation, preformatted te
 aligned columns (with column and row spans). Both keep explicit stacks with constant work a tag, so depth and broken
 markup cost no recursion and no repeated scans.
 
+Elements of svg and math are told from those of HTML as browsers do: by where they stand, with self-closing tags, CDATA and
+the HTML tags that end them. The text of formulas shows, and of svg that of text elements and of foreignObject; what
+`use` would draw once more from a hidden element does not.
+
 Scale: page by page, no shuffle, in Arrow batches; a page's tree is all that is held at a time.
 
 Defined cases: null html gives null text and zeros; an empty page gives empty text; an unclosed tag or comment at the end
@@ -28,7 +32,7 @@ from lexiloom.runtime import ship
 # Element names of HTML by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dl figure hr table fieldset".split())
 BLOCK = MARGIN | frozenset(
     "address article aside body center details dialog dd dir div dt figcaption footer form header hgroup html legend li main menu nav ol "
@@ -42,6 +46,17 @@ LISTS = frozenset("ul ol menu dir".split())
 GROUPS = frozenset("thead tbody tfoot".split())
 SCOPES = frozenset("table td th caption template button object".split())
 
+# Foreign elements: those whose content is HTML again, those that show nothing, and the HTML tags that end foreign content.
+POINTS = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc defs metadata symbol style script clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+
 # attributes by the rules of HTML: a quote opens a value only after "=", and nothing is tried twice
 _VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*"
 _REST = rf"(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:{_VALUE})?+)?+)*+"
@@ -53,10 +68,13 @@ _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", r
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """An element; ns: svg, math or empty for HTML; scope: whether it bounds the search for open elements."""
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    __slots__ = ("tag", "attrs", "kids", "ns", "scope")
+
+    def __init__(self, tag: str, attrs: dict[str, str], ns: str = ""):
+        self.tag, self.attrs, self.kids, self.ns = tag, attrs, [], ns
+        self.scope = tag in POINTS[ns] or (tag == "annotation-xml" and "html" in attrs.get("encoding", "").lower()) if ns else tag in SCOPES
 
 
 def raw_end(page: str, tag: str, at: int) -> int:
@@ -87,33 +105,42 @@ def parse(page: str) -> Node:
     # depth of the open p, li, dt or dd, option, heading, table, row group, row and cell that a new tag may close; -1: none
     near = dict.fromkeys(("p", "li", "dt", "option", "h", "table", "group", "tr", "td"), -1)
     counts: list[dict[str, int]] = [{}]
-
-    def push(tag: str, attrs: dict[str, str], kind: str | None) -> None:
-        node = Node(tag, attrs)
+    aliens: list[dict[str, int]] = []  # open foreign elements of each unbroken run of them
+
+    def push(tag: str, attrs: dict[str, str], kind: str | None, ns: str = "") -> None:
+        node = Node(tag, attrs, ns)
+        if ns:
+            if not stack[-1][0].ns:
+                aliens.append({})
+            aliens[-1][tag] = aliens[-1].get(tag, 0) + 1
         stack[-1][0].kids.append(node)
         changed: dict[str, int] = {}
         if kind:
             changed[kind] = near[kind]
             near[kind] = len(stack)
-        hide = ("li", "dt") if tag in LISTS or tag == "dl" else ()
-        if tag in SCOPES:
-            hide = ("p", "li", "dt", "option", "h") + (("group", "tr", "td") if tag == "table" else ())
+        hide = ("li", "dt") if not ns and (tag in LISTS or tag == "dl") else ()
+        if node.scope:
+            hide = ("p", "li", "dt", "option", "h") + (("group", "tr", "td") if ns or tag == "table" else ()) + (("table",) if ns else ())
         for k in hide:
             changed.setdefault(k, near[k])
             near[k] = -1
         stack.append((node, tuple(changed.items())))
-        if tag in SCOPES:
+        if node.scope:
             counts.append({})
-        else:
+        elif not ns:
             counts[-1][tag] = counts[-1].get(tag, 0) + 1
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             node, changed = stack.pop()
             near.update(changed)
-            if node.tag in SCOPES:
+            if node.ns:
+                aliens[-1][node.tag] -= 1
+                if not stack[-1][0].ns:
+                    aliens.pop()
+            if node.scope:
                 counts.pop()
-            else:
+            elif not node.ns:
                 counts[-1][node.tag] -= 1
 
     def close(kind: str) -> None:
@@ -124,11 +151,50 @@ def parse(page: str) -> Node:
     while m := _TAG.search(page, at):
         if m.start() > at:
             stack[-1][0].kids.append(html.unescape(page[at : m.start()]))
+        here = stack[-1][0]
+        if here.ns and page.startswith("<![CDATA[", m.start()):
+            at = page.find("]]>", m.start() + 9)
+            here.kids.append(page[m.start() + 9 : at if at >= 0 else len(page)])
+            at = at + 3 if at >= 0 else len(page)
+            continue
         at = m.end()
         slash, tag, rest, ended = m.groups()
         if not tag or not ended:
             continue
         tag = tag.lower()
+        if slash and here.ns and tag not in ("br", "p") and aliens[-1].get(tag, 0) > 0:
+            d = len(stack) - 1
+            while stack[d][0].tag != tag:
+                d -= 1
+            pop_to(d)
+            continue
+        attrs, closed = {}, False
+        if not slash and rest.strip(" /\n\t\f\r"):
+            for a in _ATTR.finditer(rest):
+                attrs[a[1].lower()] = html.unescape(a[2] or a[3] or a[4] or "")
+                closed = a.end() < len(rest)
+        elif not slash:
+            closed = True
+        closed = closed and rest.endswith("/")
+        if here.ns and not here.scope:
+            if tag in BREAKOUT and (not slash or tag in ("br", "p")) or (tag == "font" and not slash and attrs.keys() & {"color", "face", "size"}):
+                d = len(stack)
+                while stack[d - 1][0].ns and not stack[d - 1][0].scope:
+                    d -= 1
+                pop_to(d)
+            elif not slash:
+                ns = "svg" if tag == "svg" and here.tag == "annotation-xml" else here.ns
+                if closed:
+                    here.kids.append(Node(tag, attrs, ns))
+                else:
+                    push(tag, attrs, None, ns)
+                continue
+        if not slash and tag in ("svg", "math"):
+            if closed:
+                stack[-1][0].kids.append(Node(tag, attrs, tag))
+            else:
+                push(tag, attrs, None, tag)
+            continue
         if slash:
             kind = "td" if tag in ("td", "th") else "group" if tag in GROUPS else tag
             if tag == "br":
@@ -138,13 +204,13 @@ def parse(page: str) -> Node:
             elif tag in SCOPES:
                 if counts and len(counts) > 1:
                     for d in range(len(stack) - 1, 0, -1):
-                        if stack[d][0].tag in SCOPES:
-                            if stack[d][0].tag == tag:
+                        if stack[d][0].scope:
+                            if stack[d][0].tag == tag and not stack[d][0].ns:
                                 pop_to(d)
                             break
             elif counts[-1].get(tag, 0) > 0:
                 d = len(stack) - 1
-                while stack[d][0].tag != tag:
+                while stack[d][0].tag != tag or stack[d][0].ns:
                     d -= 1
                 pop_to(d)
             continue
@@ -179,7 +245,6 @@ def parse(page: str) -> Node:
             if near["tr"] < 0:
                 push("tr", {}, "tr")
             kind = "td"
-        attrs = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(rest)} if "=" in rest or rest.strip(" /\n\t") else {}
         if tag in VOID:
             stack[-1][0].kids.append(Node(tag, attrs))
             continue
@@ -198,6 +263,10 @@ def parse(page: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attrs
+    if node.ns:
+        if node.ns == "svg" and (a.get("display", "").strip() == "none" or a.get("visibility", "").strip() in ("hidden", "collapse")):
+            return False
+        return node.tag not in FOREIGN_UNSEEN[node.ns] and not _GONE.search(a.get("style", ""))
     return node.tag not in UNSEEN and not (a and ("hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or _GONE.search(a.get("style", ""))))
 
 
@@ -302,7 +371,7 @@ def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 def render(page: str) -> tuple[str, int, int]:
     """The visible text of a page, and its numbers of list items and table rows with text."""
     writers, tables, lists = [Writer()], [], []
-    items = rows = pre = 0
+    items = rows = pre = label = 0
     stack = [(parse(page), 0)]
     while stack:
         node, i = stack.pop()
@@ -313,11 +382,22 @@ def render(page: str) -> tuple[str, int, int]:
             if isinstance(kid, str):
                 if node.tag == "details" and "open" not in node.attrs:
                     continue
+                if node.ns == "svg" and not label and not node.scope:
+                    continue
                 w.verbatim(kid) if pre else w.text(kid)
                 continue
             if not visible(kid) or (kid.tag != "summary" and node.tag == "details" and "open" not in node.attrs):
                 continue
             tag = kid.tag
+            if kid.ns:
+                if kid.ns == "svg":
+                    label += tag == "text"
+                    if tag == "foreignobject":
+                        w.block(1)
+                if tag in ("text", "mtd") or (tag == "tspan" and kid.attrs.keys() & {"x", "y", "dy"}):
+                    w.text(" ")
+                stack.append((kid, 0))
+                continue
             if tag == "br":
                 w.flush(True)
                 continue
@@ -326,7 +406,13 @@ def render(page: str) -> tuple[str, int, int]:
                     w.text(f" {kid.attrs.get('value', '')} ")
                 continue
             if tag == "select":  # shows one option
-                shown = [x for x in kid.kids if isinstance(x, Node) and x.tag == "option"]
+                shown, below = [], [kid]
+                while below:
+                    x = below.pop()
+                    if x.tag == "option":
+                        shown.append(x)
+                    else:
+                        below.extend(y for y in reversed(x.kids) if isinstance(y, Node))
                 shown = [x for x in shown if "selected" in x.attrs][-1:] or shown[:1]
                 w.text(" " + " ".join(y for x in shown for y in x.kids if isinstance(y, str)) + " ")
                 continue
@@ -358,6 +444,14 @@ def render(page: str) -> tuple[str, int, int]:
             stack.append((kid, 0))
             continue
         tag = node.tag
+        if node.ns:
+            if node.ns == "svg":
+                label -= tag == "text"
+                if tag == "foreignobject":
+                    w.block(1)
+            if tag in ("text", "mtd"):
+                w.text(" ")
+            continue
         pre -= tag in ("pre", "textarea")
         if tag in LISTS:
             kind = lists.pop()[0]

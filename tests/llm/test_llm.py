@@ -280,6 +280,24 @@ def test_html_raw_elements(page, text):
     assert html_layout.render(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+        ("<math><semantics><mi>y</mi><annotation>TeX</annotation></semantics></math>", "y"),
+        ("<svg><title/><style/><defs><text>no</text></defs>no<rect/><text>one</text><g><text><tspan>t</tspan>wo</text></g></svg> end", "one two end"),
+        ("<svg><title>no</title><desc>no</desc><text><![CDATA[a<b]]></text></svg>", "a<b"),
+        ("<p>a<svg><foreignObject><p>b</p></foreignObject></svg>c</p>d", "a\n\nb\n\nc\n\nd"),
+        ("<svg><g><p>out</p>", "out"),
+        ("<table><tr><td><svg><g></svg>x<td>y</table>", "x  y"),
+        ("<select><optgroup label=g><option>a<option selected>b<optgroup><option>c</select>", "b"),
+        ("<select><optgroup><option>a<option>b</optgroup></select>", "a"),
+    ],
+)
+def test_html_foreign_text(page, text):
+    assert html_layout.render(page)[0] == text
+
+
 def test_licences(spark):
     mit = license_scan.TEMPLATES["mit"]
     d = spark.createDataFrame([(1, "Copyright 2020 X\n\n" + mit), (2, "x\nReleased under the MIT license"), (3, None), (4, ""), (None, "All rights reserved"), (5, "all rights"), (6, LONG)], "doc_id long, text string")
