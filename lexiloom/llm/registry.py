@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import html_layout, importance_resampling, language_id, license_scan, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
+from lexiloom.llm import html_layout, importance_resampling, language_id, license_scan, mixing, near_dedup, passage_dedup, quality_rules, sentencepiece_codec, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": near_dedup.query,
         "op5_sentencepiece": sentencepiece_codec.query,
         "op6_mixing": mixing.query,
+        "op7_passage_dedup": passage_dedup.query,
         "op7_substring_dedup": substring_dedup.query,
         "op8_language_id": language_id.query,
         "op9_html_layout": html_layout.query,
