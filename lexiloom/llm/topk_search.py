@@ -12,8 +12,12 @@ BLOCK_ROWS, so a task holds one shard and one block whatever the table's size; v
 where they fit. Merging keeps k rows a query and shard, cut again before the exchange.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null
-vec_id; a shorter vector counts as padded with zeros; rows that repeat a vec_id are one vector (the last by components);
-a query with no other vector has no rows; ties go to the smaller vec_id; other columns are not read.
+vec_id; a shorter vector counts as padded with zeros; rows that repeat a vec_id and its components are one vector; rows
+that repeat a vec_id with other components are all candidates, and if it is a query all are queried and share its ranks, but
+none is a candidate of its own id; components of any finite size are exact (weights that 64-bit sums cannot hold are summed as
+big integers), and a score among the best that a long cannot hold raises an error that names it; a query with no other
+vector has no rows; an empty table gives none; ties go to the smaller vec_id; other columns, whatever their names, are not
+read, and a very long vector only makes its shard's rows longer.
 """
 
 from __future__ import annotations
@@ -35,19 +39,24 @@ _OUT = "query_id long, vec_id long, score long"
 
 
 def integer_vector(v: Column) -> Column:
-    """floor(SCALE * x) of each component as long; null where the vector takes no part."""
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float(2**40))))
-    return F.when((F.size(v) > 0) & finite, F.transform(v, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double"))))
+    """floor(SCALE * x) of each component, a whole double; null where the vector takes no part."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    # a double of 2^53 or more is whole, and floor() to a long would cap it
+    whole = lambda y: F.when(F.abs(y) < F.lit(float(2**53)), F.floor(y).cast("double")).otherwise(y)
+    return F.when((F.size(v) > 0) & finite, F.transform(v, lambda x: whole(F.lit(float(SCALE)) * x.cast("double"))))
+
+
+def _kind(most: int, width: int) -> type:
+    """The type in which inner products of weights up to `most` are exact; products of doubles are much the fastest."""
+    return np.float64 if most * most * width < 2**53 else np.int64 if most * most * width < 2**63 else object
 
 
 class Shard:
     """Postings of one shard: for each term and sign the vectors in order of impact, and the largest weight."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids)
-        # products of 16-bit weights are exact in doubles, whose matrix products are much faster
-        exact = len(vectors) == 0 or float(np.abs(vectors).max()) ** 2 * vectors.shape[1] < 2**53
-        vectors = vectors[order].astype(np.float64 if exact else np.int64)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, kind: type):
+        order = np.argsort(ids, kind="stable")
+        vectors = _as(vectors[order], kind)
         self.ids, self.columns, self.rows = ids[order], np.ascontiguousarray(vectors.T), vectors
         self.high = self.columns.max(axis=1)
         self.low = self.columns.min(axis=1)
@@ -59,16 +68,14 @@ class Shard:
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (vec_id, score), ties to the smaller id."""
-        q = q.astype(self.rows.dtype)
         bound = np.maximum(np.maximum(q * self.high, q * self.low), 0)
         terms = np.argsort(-bound, kind="stable")
         lists = [self.positive[t] if q[t] > 0 else self.negative[t] for t in terms.tolist()]
-        self_at = int(np.searchsorted(self.ids, query_id))
-        mine = self_at if self_at < len(self.ids) and self.ids[self_at] == query_id else -1
+        mine = slice(int(np.searchsorted(self.ids, query_id)), int(np.searchsorted(self.ids, query_id, "right")))
 
         # the bar starts from vectors of the greatest impact in the lists of the greatest bounds
         seeds = np.unique(np.concatenate([x[: 4 * k] for x in lists[:8]] or [np.zeros(0, np.int64)]))
-        seeds = seeds[seeds != mine]
+        seeds = seeds[(seeds < mine.start) | (seeds >= mine.stop)]
         top = np.sort(self.rows[seeds] @ q)[::-1]
         bar = top[k - 1] if len(top) >= k else None
 
@@ -83,8 +90,7 @@ class Shard:
                     hit[x] = True
                 if hit.all():
                     break
-        if mine >= 0:
-            hit[mine] = False
+        hit[mine] = False
         seen, score, step = None, np.zeros(len(self.ids), self.rows.dtype), 8
         for at in range(0, len(terms), step):
             some = terms[at : at + step]
@@ -101,37 +107,51 @@ class Shard:
                 break
         if seen is None:
             seen, score = np.flatnonzero(hit), score[hit]
-        score = score.astype(np.int64)
-        best = np.lexsort((self.ids[seen], -score))[:k]
-        return self.ids[seen][best], score[best]
+        if score.dtype == object:  # big integers have no lexsort
+            best = np.array(sorted(range(len(seen)), key=lambda i: (-score[i], self.ids[seen[i]]))[:k], np.int64)
+            for i in best.tolist():
+                if not -(2**63) <= score[i] < 2**63:
+                    raise OverflowError(f"the score {score[i]} of query {query_id} and vector {self.ids[seen[i]]} does not fit a long")
+        else:
+            score = score.astype(np.int64)
+            best = np.lexsort((self.ids[seen], -score))[:k]
+        return self.ids[seen][best], score[best].astype(np.int64)
+
+
+def _as(weights: np.ndarray, kind: type) -> np.ndarray:
+    """Whole doubles in the type asked for; as objects they are Python integers."""
+    if kind is not object:
+        return weights.astype(kind)
+    out = np.empty(weights.shape, object)
+    out[...] = [[int(x) for x in row] for row in weights.tolist()]
+    return out
 
 
 def _unpack(rows: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width), np.float64)
     for i, r in enumerate(rows):
-        v = np.frombuffer(r[1:], np.int16 if r[:1] == b"2" else np.int64)
+        v = np.frombuffer(r[1:], np.int16 if r[:1] == b"2" else np.float64)
         out[i, : len(v)] = v
     return out
 
 
-def _last(ids: list[int], vectors: list[bytes]) -> dict[int, bytes]:
-    out: dict[int, bytes] = {}
-    for i, v in zip(ids, vectors, strict=True):
-        if i not in out or out[i] < v:
-            out[i] = v
-    return out
+def _distinct(rows: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    pairs = sorted(set(zip(rows["vec_id"].to_pylist(), rows["v"].to_pylist(), strict=True)))
+    return np.array([i for i, _ in pairs], np.int64), [v for _, v in pairs]
 
 
 def _search(k: int):
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        queries = _last(left["vec_id"].to_pylist(), left["v"].to_pylist())
-        shard = _last(right["vec_id"].to_pylist(), right["v"].to_pylist())
+        asked, queries = _distinct(left)
+        ids, shard = _distinct(right)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if queries and shard:
             size = lambda r: (len(r) - 1) // (2 if r[:1] == b"2" else 8)
-            width = max(map(size, [*queries.values(), *shard.values()]))
-            index = Shard(np.fromiter(shard, np.int64, len(shard)), _unpack(list(shard.values()), width))
-            for i, q in zip(queries, _unpack(list(queries.values()), width), strict=True):
+            width = max(map(size, [*queries, *shard]))
+            wanted, held = _unpack(queries, width), _unpack(shard, width)
+            kind = _kind(int(max(np.abs(wanted).max(), np.abs(held).max())), width)
+            index = Shard(ids, held, kind)
+            for i, q in zip(asked.tolist(), _as(wanted, kind), strict=True):
                 ids, scores = index.search(i, q, k)
                 found.append((np.full(len(ids), i), ids, scores))
         cols = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3)]
@@ -146,7 +166,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, n = np.asarray(vectors.flatten()), np.asarray(vectors.value_lengths())
         at = np.r_[0, np.cumsum(n)].tolist()
         small = [len(x) == 0 or (x.min() >= -32768 and x.max() <= 32767) for x in (flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
-        packed = [(b"2" + flat[a:b].astype(np.int16).tobytes()) if s else (b"8" + flat[a:b].tobytes()) for a, b, s in zip(at[:-1], at[1:], small, strict=True)]
+        packed = [(b"2" + flat[a:b].astype(np.int16).tobytes()) if s else (b"8" + flat[a:b].astype(np.float64).tobytes()) for a, b, s in zip(at[:-1], at[1:], small, strict=True)]
         yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], names=["vec_id", "v"])
 
 
