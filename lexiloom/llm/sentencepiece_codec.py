@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A run of texts is cut into words (a SentencePiece never has its space mark after another character), and the distinct
-words are concatenated and indexed: all suffixes are sorted by their first MAX_PIECE characters, every piece of the
+words are concatenated and indexed: all suffixes are sorted by as many characters as the longest piece has, every piece of the
 vocabulary is binary-searched for its range of occurrences, and the ranges become edges, filed by start and length.
 Relaxation then follows the model's kind. The given model is byte-pair, where the best path is not the one of greatest
 sum but the one merging reaches, so each word's edges are relaxed in order of piece rank, leftmost first, taking an edge
@@ -12,7 +12,8 @@ Scale: row by row, no shuffle; the vocabulary (its size is fixed) is the only th
 RUN bytes of text, so memory does not depend on the table. A very long word takes a heap instead of vector rounds.
 
 Defined cases: null text gives null ids and null decoding; empty text gives no ids; a literal space mark decodes as a
-space, as in the library; ids outside the vocabulary decode to nothing; repeated rows and null ids are encoded as they
+space, as in the library; a run may hold any number of different characters; a very long text is a run of its own, some 90
+bytes a character; a model that is not byte-pair is refused; ids outside the vocabulary decode to nothing; repeated rows and null ids are encoded as they
 come; other columns of any name are kept.
 """
 
@@ -49,9 +50,7 @@ class Vocabulary:
         several = [p for p in pieces if len(p[1]) > 1]
         self.lengths = np.array([len(p) for _, p, _ in several], np.int64)
         self.most = int(self.lengths.max(initial=2))
-        if self.most > 16:
-            raise ValueError("a piece has over 16 characters")
-        self.chars = np.zeros((len(several), 16), np.uint32)
+        self.chars = np.zeros((len(several), max(16, -(-self.most // 16) * 16)), np.uint32)
         for i, (_, p, _) in enumerate(several):
             self.chars[i, : len(p)] = [ord(c) for c in p]
         self.ids = np.array([i for i, _, _ in several], np.int32)
@@ -66,12 +65,44 @@ class Vocabulary:
         self.surface_at = np.cumsum([0, *map(len, surfaces)])
 
 
+def model_type(proto: bytes) -> int:
+    """trainer_spec.model_type of a serialized model: 1 unigram (also where it is not told), 2 byte-pair, 3 word, 4 character."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                b = data[at]
+                at += 1
+                out |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return out
+
+        while at < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                n = {1: 8, 5: 4}.get(tag & 7) or number()
+                yield tag >> 3, data[at : at + n]
+                at += n
+
+    trainer = b"".join(x for k, x in fields(proto) if k == 2 and isinstance(x, bytes))
+    return next((x for k, x in fields(trainer) if k == 3 and isinstance(x, int)), 1)
+
+
 @lru_cache(4)
 def load(path: str = MODEL) -> Vocabulary:
-    """Reads a SentencePiece model file on the driver."""
+    """Reads a SentencePiece model file on the driver; only byte-pair models, whose merges `relax` follows."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
+    if model_type(m.serialized_model_proto()) != 2:
+        raise ValueError(f"{path} is no byte-pair model")
     n = m.get_piece_size()
     special = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_byte(i)
     surfaces = []
@@ -81,17 +112,17 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary([(i, m.id_to_piece(i), m.get_score(i)) for i in range(n) if not special(i)], [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)], surfaces)
 
 
-def _suffixes(marks: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Sort keys of the suffixes: 16 characters of `bits` bits in words of 64."""
+def _suffixes(marks: np.ndarray, bits: int, width: int) -> list[np.ndarray]:
+    """Sort keys of the suffixes: `width` characters of `bits` bits in words of 64."""
     n, per = len(marks), 64 // bits
-    key = np.zeros(n + 32, np.uint64)
+    key = np.zeros(n + width + 16, np.uint64)
     key[:n] = marks
     have = 1
     while have < per:
         nxt = key << np.uint64(bits * have)
         nxt[:-have] |= key[have:]
         key, have = nxt, have * 2
-    return [key[k : k + n] for k in range(0, 16, per)]
+    return [key[k : k + n] for k in range(0, width, per)]
 
 
 def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.ndarray:
@@ -118,23 +149,22 @@ def edges(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
     filed = np.full((n, v.most + 1), _NONE, np.int32)
     letters = np.unique(codes)
     letters = letters[letters > 0]
-    bits = 8 if len(letters) < 255 else 16
-    if bits == 16 and len(letters) > 65000:
-        raise ValueError("too many different characters in a run")
+    bits = 8 if len(letters) < 255 else 16 if len(letters) < 65535 else 32
+    width = v.chars.shape[1]
     known = np.isin(v.chars, letters) | (v.chars == 0)
     here = np.flatnonzero(known.all(axis=1))
     if not n or not len(here):
         return filed
     rank = np.zeros(n, np.uint64)
     rank[codes > 0] = np.searchsorted(letters, codes[codes > 0]) + 1
-    keys = _suffixes(rank, bits)
+    keys = _suffixes(rank, bits, width)
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     chars = v.chars[here]
     low = np.where(chars > 0, np.searchsorted(letters, chars) + 1, 0).astype(np.uint64)
     high = np.where(chars > 0, low, np.uint64((1 << bits) - 1))
     per = 64 // bits
-    pack = lambda x: [np.bitwise_or.reduce(x[:, k : k + per] << (np.arange(per - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)), axis=1) for k in range(0, 16, per)]
+    pack = lambda x: [np.bitwise_or.reduce(x[:, k : k + per] << (np.arange(per - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)), axis=1) for k in range(0, width, per)]
     first, last = _bound(keys, pack(low), False), _bound(keys, pack(high), True)
     count = last - first
     piece = np.repeat(here, count)
