@@ -21,7 +21,10 @@ Scale: texts are scanned once for signatures and moved once (only those in a sha
 are salted; joins on hot keys are plain joins of two exchanges, which adaptive execution splits.
 
 Defined cases: null or empty texts, or without words, have an empty set, link with nothing and stay; rows with a null id
-take no part and stay, with a null component; rows that repeat an id are one document; other columns are not read.
+take no part and stay, with a null component; rows that repeat an id and text are one document; rows that repeat an id with
+other texts are documents of their own, linked only by their texts, and `dedup` keeps of a group the one of least (id, hash
+of the text); a very long text is hashed whole, in one task; an empty table gives an empty table; other columns, whatever
+their names, are not read, and `dedup` keeps them.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ BANDS, ROWS, BITS = 36, 7, 512
 ESTIMATE = 0.62
 CELL, SALT = 256, 64
 
-_SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
+_SIGNATURE = "doc_id long, t long, n_shingles long, f1 long, f2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
 _RNG = np.random.Generator(np.random.PCG64(11))
 _XOR = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -97,9 +100,9 @@ def most_bits(estimate: float = ESTIMATE) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "f1", "f2", "bands", *[f"s{i}" for i in range(BITS // 64)]]
+    names = ["doc_id", "t", "n_shingles", "f1", "f2", "bands", *[f"s{i}" for i in range(BITS // 64)]]
     for batch in batches:
-        ids, texts = batch.columns
+        ids, ts, texts = batch.columns
         for a, sets in sets_of(texts):
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
@@ -118,7 +121,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = np.where(n > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)].astype(np.int32)), pa.array(bands[full].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2), lists, *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(BITS // 64)]],
+                [ids.slice(a, len(n)), ts.slice(a, len(n)), pa.array(n), pa.array(f1), pa.array(f2), lists, *[pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(BITS // 64)]],
                 names=names,
             )
 
@@ -265,23 +268,32 @@ def _celled(members: DataFrame, group: str, count: str, columns: list[str]) -> D
     return rows.select(cell.alias("cell"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row of docs."""
+def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id and first_t (id and hash of a group's first text): one row a row of docs.
+
+    A class of equal sets is a node: it goes by its least doc_id, or where several classes share that, all but one of them
+    by a hash of their fingerprint.
+    """
     ship(spark)
     scratch = Scratch(spark, "near")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     signed = scratch.save(texts.mapInArrow(_signatures, _SIGNATURE), "signatures")
     sketch = [f"s{i}" for i in range(BITS // 64)]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", *sketch)])
-    classes = scratch.save(classes, "classes")
+    classes = usable.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t")).alias("r"), *[F.first(c).alias(c) for c in ("bands", *sketch)])
+    classes = scratch.save(classes.select("f1", "f2", F.col("r.doc_id").alias("rep_id"), F.col("r.t").alias("rep_t"), "bands", *sketch), "classes")
+    owners = classes.groupBy("rep_id").agg(F.min(F.struct("f1", "f2")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    node = F.when(F.col("owner").isNull() | (F.struct("f1", "f2") == F.col("owner")), F.col("rep_id")).otherwise(F.xxhash64("f1", "f2"))
+    classes = classes.join(scratch.save(owners, "owners"), "rep_id", "left").withColumn("rep", node).drop("owner")
+    nodes = scratch.save(classes.select("rep", "rep_id", "rep_t", "f1", "f2"), "nodes")
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = scratch.save(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "shared")
     banded = scratch.save(keyed.join(shared, "key").select("key", "rep", "pivot").distinct(), "banded")
-    some = banded.select(F.col("rep").alias("doc_id")).distinct()
-    some = scratch.save(texts.join(some, "doc_id").dropDuplicates(["doc_id", "text"]).groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    sketches = scratch.save(classes.groupBy("rep").agg(*[F.first(c).alias(c) for c in sketch]).join(some.select(F.col("doc_id").alias("rep")), "rep"), "sketches")
+    some = banded.select("rep").distinct().join(nodes, "rep").select("rep", F.col("rep_id").alias("doc_id"), F.col("rep_t").alias("t"))
+    some = texts.join(some, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.max("text").alias("text"))
+    some = scratch.save(some.select(F.col("rep").alias("doc_id"), "text"), "texts")
+    sketches = scratch.save(classes.select("rep", *sketch).join(some.select(F.col("doc_id").alias("rep")), "rep"), "sketches")
 
     def side(name: str) -> DataFrame:
         return sketches.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}{c[1:]}") for c in sketch])
@@ -313,18 +325,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if not more.isEmpty():
             known = scratch.save(components(links.union(more), scratch, "stars-1"), "components-1")
 
-    named = classes.join(known, classes["rep"] == known["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
-    out = signed.join(scratch.save(named, "named"), ["f1", "f2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    named = scratch.save(nodes.join(known, nodes["rep"] == known["node"], "left").select("f1", "f2", "rep_id", "rep_t", F.coalesce("component", "rep").alias("c")), "named")
+    least = named.groupBy("c").agg(F.min(F.struct("rep_id", "rep_t")).alias("least"))
+    named = scratch.save(named.join(least, "c").select("f1", "f2", "least"), "least")
+    out = signed.join(named, ["f1", "f2"], "left")
+    taking_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(taking_part, F.col("least.rep_id")).otherwise(F.col("doc_id"))
+    first = F.when(taking_part, F.col("least.rep_t")).otherwise(F.col("t"))
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), first.alias("first_t"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a row of docs."""
+    out = groups(spark, docs, id_col, text).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, one document of each group: rows that repeat an id count as one document and give one row."""
-    kept = near_duplicates(spark, docs, id_col, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept")).drop("__kept").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs, one document of each group: rows that repeat an id and text are one document and give one row."""
+    found = groups(spark, docs, id_col, text).where("doc_id is not null and doc_id = component_id and t <=> first_t")
+    kept = found.select(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).distinct()
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{id_col}`").cast("long").alias("__i"), F.xxhash64(F.col(f"`{text}`")).alias("__t"))
+    once = rows.where(F.col("__i").isNotNull()).join(kept, ["__i", "__t"]).dropDuplicates(["__i", "__t"])
+    return once.unionByName(rows.where(F.col("__i").isNull())).drop("__i", "__t").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
