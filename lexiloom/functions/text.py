@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.runtime import ship
+
 MODES = ("exact", "variants", "loose")
 _SPECIAL = re.compile(r"([^\w\s]|_)", re.UNICODE)
 #: White space as Python understands it, spelt out since Java's \s differs.
@@ -26,6 +28,14 @@ def pattern(word: str, mode: str = "exact") -> str:
     return f"(?iuU){body}"
 
 
+def python_pattern(word: str, mode: str = "exact") -> str:
+    """The same for Python's regular expressions, which need IGNORECASE."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    w = re.escape(word)
+    return {"exact": rf"\b{w}\b", "variants": rf"\b{w}[a-záéíóúñ]{{0,3}}\b", "loose": w}[mode]
+
+
 def matches(body: Column, regex: str) -> Column:
     """array<struct<start, end, text>> of all matches, 0-based half-open code-point offsets.
 
@@ -59,6 +69,9 @@ def collapse_offset(body: Column, at: Column) -> Column:
 
 
 def _series(f: Callable[[str], str]):
+    if (session := SparkSession.getActiveSession()) is not None:
+        ship(session)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -73,8 +86,20 @@ def nfc(x: Column, mode: str = "full") -> Column:
     return _series(one if mode == "full" else lambda s: s if one(s) == s else "".join(map(one, s)))(x)
 
 
+class _Bare(dict):
+    """What each character leaves without its marks, found once a character; a mark by itself stays."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "".join(d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn") or c
+        return out
+
+
+_BARE = _Bare()
+
+
 def _bare(s: str) -> str:
-    return "".join("".join(d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn") or c for c in s)
+    return s.translate(_BARE)
 
 
 def strip_accents(x: Column) -> Column:
@@ -82,7 +107,8 @@ def strip_accents(x: Column) -> Column:
 
 
 def casefold(x: Column) -> Column:
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Unicode case folding; texts of ASCII characters alone are lower-cased without Python."""
+    return F.when(x.rlike(r"^\p{ASCII}*$"), F.lower(x)).otherwise(_series(str.casefold)(F.when(~x.rlike(r"^\p{ASCII}*$"), x)))
 
 
 #: name -> (expression, whether offsets survive it).

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +26,27 @@ def cap_per_group(units: DataFrame, most: int, group: str, key: list[str], seed:
     return units.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
+def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the columns of a, then the others of b."""
+    b = b.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(on)})
+    test = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"__{i}"]) for i, c in enumerate(on)])
+    return a.join(b, test, how).drop(*[f"__{i}" for i in range(len(on))])
+
+
 def stratified(units: DataFrame, n: int, group: str, key: list[str], seed: int = 0) -> DataFrame:
-    """floor(n * share) rows of each group, and the rest at random from all rows not chosen."""
+    """floor(n * share) rows of each group (null is one), and the rest at random from all rows not chosen; key tells rows apart.
+
+    No group is ranked whole: each task sends the first n of a group at most, as a quota is never above n. The rest come
+    from the first 2n rows of another order, since at most n of those are chosen already.
+    """
     sizes = units.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     total = sizes.agg(F.sum("__size").alias("__total"))
-    quota = sizes.crossJoin(F.broadcast(total)).select(group, F.floor(F.lit(n) * F.col("__size") / F.col("__total")).alias("__quota"))
-    ranked = units.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(order(seed, *key), *key))).join(quota, group)
-    chosen = ranked.where(F.col("__n") <= F.col("__quota")).drop("__n", "__quota")
-    missing = n - (quota.agg(F.sum("__quota")).first()[0] or 0)
-    rest = ranked.where(F.col("__n") > F.col("__quota")).drop("__n", "__quota").orderBy(order(seed + 1, *key), *key).limit(max(0, missing))
-    return chosen.unionByName(rest)
+    quota = sizes.crossJoin(F.broadcast(total)).select(group, F.when(F.col("__total") <= n, F.col("__size")).otherwise(F.floor(F.lit(n) * F.col("__size") / F.col("__total"))).alias("__quota"))
+    ranked = units.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy(order(seed, *key), *key))).where(F.col("__n") <= n)
+    chosen = _same(ranked, quota, [group]).where(F.col("__n") <= F.col("__quota")).drop("__n", "__quota")
+    rest = _same(units.orderBy(order(seed + 1, *key), *key).limit(2 * n), chosen.select(*key), key, "left_anti").withColumn("__first", F.lit(1))
+    both = chosen.withColumn("__first", F.lit(0)).unionByName(rest)
+    return both.orderBy("__first", order(seed + 1, *key), *key).limit(n).drop("__first")
 
 
 def cap_per_group_spaced(units: DataFrame, most: int, group: str, key: list[str], start: str = "start", distance: int = 500, seed: int = 0) -> DataFrame:
@@ -55,7 +68,7 @@ def cap_per_group_spaced(units: DataFrame, most: int, group: str, key: list[str]
     picked = F.when(F.size("__all") <= most, F.col("__all")).otherwise(F.aggregate(F.array(*map(F.lit, levels)), none, pick))
     on = list(dict.fromkeys([group, *key]))
     chosen = grouped.select(group, F.explode(picked).alias("u")).select(*[F.col(k if k == group else f"u.{k}").alias(k) for k in on])
-    return units.join(chosen, on)
+    return _same(units, chosen, on)
 
 
 def summary(units: DataFrame, group: str) -> DataFrame:

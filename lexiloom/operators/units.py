@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.runtime import ship
 
 CUT = r"[.!?]+\s+"
-# Section headers that begin an appendix, title and text signs of pages that are no articles.
-APPENDIX = ("See also", "References", "External links", "Further reading", "Notes", "Bibliography", "Véase también", "Referencias", "Enlaces externos", "Bibliografía", "Notas", "Fuentes")
-JUNK_TITLE = r"(?iu)\((disambiguation|desambiguación)\)|^(list of|anexo:|lista de|category:|categoría:|template:|plantilla:)"
-JUNK_TEXT = r"(?iu)may refer to:|can refer to|puede referirse a|puede hacer referencia a"
+# Section headers that begin an appendix, signs in titles and in texts of pages that are no articles.
+APPENDIX = ("See also", "References", "External links", "Further reading", "Notes", "Bibliography", "Véase también", "Referencias", "Enlaces externos", "Notas", "Bibliografía")
+JUNK_TITLE = ("disambiguation", "list of", "desambiguación", "anexo:", "lista de", "véase también")
+JUNK_TEXT = ("may refer to", "may also refer to", "puede referirse a", "hace referencia a varios")
+JUNK_HEAD = 400
 
 
 def corpus(documents: DataFrame) -> DataFrame:
@@ -32,25 +39,29 @@ def segments(docs: DataFrame, word: str, mode: str = "exact") -> DataFrame:
     return found.select("doc_id", "occ", "m.start", "m.end", "m.text", "body", "source")
 
 
-def pieces(body: Column, cut: str) -> Column:
-    """Pieces of a body that end after each cut, stripped and with offsets; blank ones go."""
-    ends = F.concat(F.transform(T.matches(body, cut), lambda m: m["end"]), F.array(F.length(body)))
-    starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-    raw = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), F.substring(body, a + 1, b - a).alias("t")))
-    kept = F.filter(raw, lambda p: F.regexp_replace(p["t"], f"^{T.WHITE}+|{T.WHITE}+$", "") != "")
+def _stripped(body: str) -> Iterator[tuple[int, int, str]]:
+    """Pieces that end after each cut, stripped, with offsets; blank ones go."""
+    at = 0
+    for end in [*(m.end() for m in re.finditer(CUT, body)), len(body)]:
+        piece = body[at:end]
+        bare = piece.strip()
+        if bare:
+            start = at + len(piece) - len(piece.lstrip())
+            yield start, start + len(bare), bare
+        at = end
 
-    def strip(p: Column) -> Column:
-        left = F.regexp_replace(p["t"], f"^{T.WHITE}+", "")
-        bare = F.regexp_replace(left, f"{T.WHITE}+$", "")
-        start = p["a"] + F.length(p["t"]) - F.length(left)
-        return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("text"))
 
-    return F.transform(kept, strip)
+def sentences(docs: DataFrame) -> DataFrame:
+    """One row a sentence: doc_id, occ, start, end, text, source. One pass over each body, in Arrow batches."""
+    ship(docs.sparkSession)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(d, k, *p, s) for d, b, s in rows.itertuples(index=False) if b for k, p in enumerate(_stripped(b))]
+            yield pd.DataFrame(out, columns=["doc_id", "occ", "start", "end", "text", "source"])
 
-def sentences(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", "source", F.posexplode(pieces(F.col("body"), CUT)).alias("occ", "m"))
-    return rows.select("doc_id", "occ", "m.start", "m.end", "m.text", "source")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "body", "source").mapInPandas(run, f"doc_id {kind}, occ int, start int, end int, text string, source string")
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -68,7 +79,8 @@ def clean_body(body: Column) -> Column:
 
 
 def is_junk(title: Column, body: Column) -> Column:
-    return title.rlike(JUNK_TITLE) | F.substring(body, 1, 400).rlike(JUNK_TEXT)
+    """A disambiguation or list page, by any part of its title or the head of its text."""
+    return title.rlike("(?iu)" + "|".join(JUNK_TITLE)) | F.substring(body, 1, JUNK_HEAD).rlike("(?iu)" + "|".join(JUNK_TEXT))
 
 
 def hits(body: Column, terms: list[str]) -> Column:
@@ -77,42 +89,100 @@ def hits(body: Column, terms: list[str]) -> Column:
 
 
 def word_contexts(docs: DataFrame, word: str, most: int | None = None) -> DataFrame:
-    """Sentences with a word as library contours take them: split before a capital, at least five words, target marked."""
-    ctx = docs.select("doc_id", F.posexplode(F.split("body", r"(?<=[.!?])\s+(?=[A-Z])")).alias("ctx", "s")).withColumn("s", F.trim("s"))
-    words = F.split("s", r"\s+")
-    ctx = ctx.where(F.col("s").rlike(T.pattern(word)) & (F.size(words) >= 5))
-    if most is not None:
-        ctx = ctx.where(F.col("ctx") < most)
-    rows = ctx.select("doc_id", "ctx", "s", words.alias("w"), F.posexplode(F.filter(F.transform(words, lambda x, i: F.when(T.clean_token(x) == word.lower(), i)), lambda i: i.isNotNull())).alias("occ", "position"))
-    key = F.format_string("ctx_%03d_occ_%02d", F.col("ctx"), F.col("occ"))
-    return rows.select("doc_id", key.alias("key"), "position", T.mark(F.col("w"), F.col("position")).alias("marked"))
-
-
-# KWIC windows over segments (doc_id, occ, start, end, text, body, source)
-
-def _window(seg: DataFrame, a: Column, b: Column) -> DataFrame:
-    seg = seg.withColumn("w_start", a).withColumn("w_end", b)
-    left = F.substring("body", F.col("w_start") + 1, F.col("start") - F.col("w_start"))
-    right = F.substring("body", F.col("end") + 1, F.greatest(F.col("w_end") - F.col("end"), F.lit(0)))
-    return seg.select("doc_id", "occ", "start", "end", left.alias("left"), "text", right.alias("right"), "w_start", "w_end", "source")
-
-
-def kwic(seg: DataFrame, mode: str = "chars", size: int = 50) -> DataFrame:
-    body, start, end = F.col("body"), F.col("start"), F.col("end")
-    n = F.length(body)
-    if mode == "chars":
-        return _window(seg, F.greatest(start - size, F.lit(0)), F.least(end + size, n))
-    prefix, suffix = F.substring(body, F.lit(1), start), F.substring(body, end + 1, n)
-    if mode == "words":  # counted from the token that holds the start
-        before = F.regexp_extract(F.reverse(prefix), rf"^\S*(?:\s+\S+){{0,{size}}}", 0)
-        after = F.regexp_extract(F.substring(body, start + 1, n), rf"^\S+(?:\s+\S+){{0,{size}}}", 0)
-        return _window(seg, start - F.length(before), F.when(F.length(after) > 0, start + F.length(after)).otherwise(end))
-    if mode == "sentence":
-        a = F.length(F.regexp_extract(prefix, r"(?s)^.*[.!?]+\s+", 0))
-        stop = F.length(F.regexp_extract(suffix, r"^[^.!?]*[.!?]+", 0))
-        return _window(seg, a, F.when(stop > 0, end + stop).otherwise(n))
-    if mode == "paragraph":
-        a = F.length(F.regexp_extract(prefix, r"(?s)^.*\n\s*\n", 0))
-        stop = F.regexp_extract(suffix, r"(?s)^(.*?)\n\s*\n", 1)
-        return _window(seg, a, F.when(suffix.rlike(r"\n\s*\n"), end + F.length(stop)).otherwise(n))
-    raise ValueError("mode must be chars, words, sentence or paragraph")
+    """Sentences with a word as library contours take them: split before a capital, at least five words, target marked.
+
+    Only valid sentences are numbered, and `most` limits those. One row an occurrence: doc_id, key, position, marked.
+    """
+    ship(docs.sparkSession)
+    cut, rule, low = re.compile(r"(?<=[.!?])\s+(?=[A-Z])"), re.compile(rf"\b{re.escape(word.lower())}\b"), word.lower()
+    other = re.compile(r"[^\w]")
+
+    def contexts(body: str) -> Iterator[tuple[str, int, str]]:
+        valid = (s.split() for s in cut.split(body) if rule.search(s.lower()))
+        for ctx, words in enumerate([w for w in valid if len(w) >= 5][:most]):
+            for occ, k in enumerate(k for k, w in enumerate(words) if other.sub("", w.lower()) == low):
+                yield f"ctx_{ctx:03d}_occ_{occ:02d}", k, " ".join([*words[:k], f"[TARGET]{words[k]}[/TARGET]", *words[k + 1 :]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(d, *x) for d, b in rows.itertuples(index=False) for x in contexts(b)]
+            yield pd.DataFrame(out, columns=["doc_id", "key", "position", "marked"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "body").where(F.lower("body").contains(low))
+    return rows.mapInPandas(run, f"doc_id {kind}, key string, position int, marked string")
+
+
+# KWIC windows: where the context of each occurrence begins and ends, from positions taken once a body
+
+def _chars(body: str, size: int) -> Callable[[int, int], tuple[int, int]]:
+    return lambda start, end: (max(0, start - size), min(len(body), end + size))
+
+
+def _words(body: str, size: int) -> Callable[[int, int], tuple[int, int]]:
+    """Tokens are counted from the one that holds the start; a start on white space has no context."""
+    spans = [m.span() for m in re.finditer(r"\S+", body)]
+    first = [a for a, _ in spans]
+
+    def at(start: int, end: int) -> tuple[int, int]:
+        k = bisect_right(first, start) - 1
+        if k < 0 or start >= spans[k][1]:
+            return start, end
+        return spans[max(0, k - size)][0], spans[min(len(spans) - 1, k + size)][1]
+
+    return at
+
+
+def _sentence(body: str, size: int) -> Callable[[int, int], tuple[int, int]]:
+    starts, stops = [0, *(m.end() for m in re.finditer(CUT, body))], [*(m.end() for m in re.finditer(r"[.!?]+", body)), len(body)]
+    return lambda start, end: (starts[bisect_right(starts, start) - 1], stops[min(bisect_left(stops, end), len(stops) - 1)])
+
+
+def _paragraph(body: str, size: int) -> Callable[[int, int], tuple[int, int]]:
+    gaps = [m.span() for m in re.finditer(r"\n\s*\n", body)]
+    starts, stops = [0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(body)]
+    return lambda start, end: (starts[bisect_right(starts, start) - 1], stops[min(bisect_left(stops, end), len(stops) - 1)])
+
+
+_WINDOWS = {"chars": _chars, "words": _words, "sentence": _sentence, "paragraph": _paragraph}
+_LINE = ["doc_id", "occ", "start", "end", "left", "text", "right", "w_start", "w_end", "source"]
+
+
+def _lines(docs: DataFrame, found: Callable[[tuple], list[tuple[int, int, int, str]]], mode: str, size: int) -> DataFrame:
+    """One row an occurrence of the rows (doc_id, body, source, ...); found gives (occ, start, end, text) of a row."""
+    if mode not in _WINDOWS:
+        raise ValueError("mode must be chars, words, sentence or paragraph")
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for row in rows.itertuples(index=False):
+                doc, body, source = row[:3]
+                window = None
+                for occ, start, end, text in found(row) if body else []:
+                    window = window or _WINDOWS[mode](body, size)
+                    a, b = window(start, end)
+                    out.append((doc, occ, start, end, body[a:start], text, body[end:b], a, b, source))
+            yield pd.DataFrame(out, columns=_LINE)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInPandas(run, f"doc_id {kind}, occ int, start int, end int, left string, text string, right string, w_start int, w_end int, source string")
+
+
+def concordance(docs: DataFrame, word: str, match: str = "exact", mode: str = "chars", size: int = 50) -> DataFrame:
+    """All occurrences of a word with their context. Each body is read once, whatever the number of occurrences."""
+    rule = re.compile(T.python_pattern(word, match), re.IGNORECASE)
+    rows = with_word(docs, word, match).select("doc_id", "body", "source")
+    return _lines(rows, lambda row: [(k, *m.span(), m.group()) for k, m in enumerate(rule.finditer(row[1]))], mode, size)
+
+
+def kwic(seg: DataFrame, mode: str = "chars", size: int = 50, docs: DataFrame | None = None) -> DataFrame:
+    """Segments with their context; docs: the bodies by doc_id, for segments that carry none (a sample, say).
+
+    The segments of a document meet its body once, so no body is copied to an occurrence.
+    """
+    item = F.struct(*[F.col(c) for c in ("occ", "start", "end", "text")])
+    held = seg.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("found"), *([] if docs is not None else [F.max("body").alias("body")]), F.max("source").alias("source"))
+    held = held.join(docs.select("doc_id", "body"), "doc_id") if docs is not None else held
+    return _lines(held.select("doc_id", "body", "source", "found"), lambda row: [(x["occ"], x["start"], x["end"], x["text"]) for x in row[3]], mode, size)

@@ -35,7 +35,7 @@ def run(documents: DataFrame, c: Config, log: TraceLog | None = None) -> DataFra
         found = P.apply(U.with_word(docs, c.word, c.mode).select("doc_id", "source"), c.document_strategy, c.n_documents, ["doc_id"], "source", c.seed)
         docs = docs.join(found.select("doc_id"), "doc_id", "left_semi")
         log.record("documents", asdict(c))
-    occ = U.segments(docs, c.word, c.mode)
+    occ = U.segments(docs, c.word, c.mode).drop("body")
     key = ["doc_id", "start"]
     if c.per_document and c.min_distance:
         occ = P.cap_per_group_spaced(occ, c.per_document, "doc_id", ["start"], "start", c.min_distance, c.seed)
@@ -43,4 +43,4 @@ def run(documents: DataFrame, c: Config, log: TraceLog | None = None) -> DataFra
         occ = P.cap_per_group(occ, c.per_document, "doc_id", key, c.seed)
     occ = P.apply(occ, c.occurrence_strategy, c.n_occurrences, key, "source", c.seed)
     log.record("occurrences", asdict(c))
-    return U.kwic(occ, c.window, c.size)
+    return U.kwic(occ, c.window, c.size, documents)

@@ -14,6 +14,11 @@ KEY = ["doc_id", "start"]
 _WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+_TITLES = ("Mercury", "Mercury (disambiguation)", "a List of words", "plain", "DESAMBIGUACIÓN", "Anexo:x", "lista de", "Véase también", "category:x", "template:x")
+_HEADS = ("", "Mercury may also refer to ", "", "x May Refer To y", "", "hace referencia a varios ", "puede referirse a ", "can refer to", "puede hacer referencia a", "", "see")
+_HEADERS = ("See also", "REFERENCES", "External links", "Fuentes", "further reading", "Notes", "Bibliography", "Véase también", "Sources", "Referencias", "Enlaces externos", "Notas", "Bibliografía")
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return U.corpus(spark.read.parquet(f"{sf}/documents.parquet"))
 
@@ -22,6 +27,10 @@ def seg(spark: SparkSession, sf: str, word: str = WORD, mode: str = "exact") ->
     return U.segments(docs(spark, sf), word, mode)
 
 
+def _kwic(spark: SparkSession, sf: str, mode: str, size: int = 50) -> DataFrame:
+    return U.concordance(docs(spark, sf), WORD, "exact", mode, size)
+
+
 def _digest(df: DataFrame) -> DataFrame:
     """Long texts as lengths and MD5."""
     for c in ("left", "right"):
@@ -67,8 +76,8 @@ def _thin(spark: SparkSession, sf: str) -> DataFrame:
 
 def _two_stage(spark: SparkSession, sf: str) -> DataFrame:
     chosen = P.random(U.with_word(docs(spark, sf), WORD).select("doc_id"), 50, ["doc_id"], 0)
-    occ = U.segments(docs(spark, sf).join(chosen, "doc_id"), WORD)
-    return _digest(U.kwic(P.random(P.cap_per_group(occ, 3, "doc_id", KEY, 0), 100, KEY, 0), "chars", 30)).drop("w_start", "w_end")
+    occ = U.segments(docs(spark, sf).join(chosen, "doc_id"), WORD).drop("body")
+    return _digest(U.kwic(P.random(P.cap_per_group(occ, 3, "doc_id", KEY, 0), 100, KEY, 0), "chars", 30, docs(spark, sf))).drop("w_start", "w_end")
 
 
 _SPEC: dict[str, tuple] = {
@@ -86,23 +95,23 @@ p AS (SELECT b.doc_id, a, substr(text, (a + 1)::BIGINT, (e - a)::BIGINT) AS t, s
 q AS (SELECT doc_id, source, a + length(t) - length(regexp_replace(t, '^\s+', '')) AS start, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') AS text FROM p)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS occ, start::INTEGER AS start, (start + length(text))::INTEGER AS "end", text, source FROM q WHERE text <> ''""",
     ),
-    "kwic_chars": (lambda s, d: _digest(U.kwic(seg(s, d), "chars", 50)), _SEG + _KWIC.format(a="greatest(start - 50, 0)", b="least(start + length(text) + 50, length(body))", join="")),
+    "kwic_chars": (lambda s, d: _digest(_kwic(s, d, "chars", 50)), _SEG + _KWIC.format(a="greatest(start - 50, 0)", b="least(start + length(text) + 50, length(body))", join="")),
     "kwic_words": (
-        lambda s, d: _digest(U.kwic(seg(s, d), "words", 5)),
+        lambda s, d: _digest(_kwic(s, d, "words", 5)),
         _SEG + _KWIC.format(a=r"start - length(regexp_extract(substr(body, 1, start), '(?:\S+\s+){0,5}\S*\z'))", b=r"start + length(regexp_extract(substr(body, start + 1), '^\S+(?:\s+\S+){0,5}'))", join=""),
     ),
     "kwic_sentence": (
-        lambda s, d: _digest(U.kwic(seg(s, d), "sentence")),
+        lambda s, d: _digest(_kwic(s, d, "sentence")),
         _CUTS + _KWIC.format(a="coalesce(list_max(list_filter(c.e, lambda x: x <= start)), 0)", b="coalesce(list_min(list_filter(s.e, lambda x: x >= start + length(text))), length(body))", join=_LISTS),
     ),
     "kwic_paragraph": (
-        lambda s, d: _digest(U.kwic(seg(s, d), "paragraph")),
+        lambda s, d: _digest(_kwic(s, d, "paragraph")),
         _SEG + ", " + _occ(r"\n\s*\n", "cut") + _KWIC.format(
             a="coalesce(list_max(list_filter(c.e, lambda x: x <= start)), 0)", b="coalesce(list_min(list_filter(c.s, lambda x: x >= start + length(text))), length(body))",
             join="LEFT JOIN (SELECT doc_id, list(start + length(text)) AS e, list(start) AS s FROM cut GROUP BY doc_id) c USING (doc_id)"),
     ),
     "kwic_lines": (
-        lambda s, d: U.kwic(seg(s, d), "chars", 30).select("doc_id", "occ", T.kwic_line(F.col("left"), F.col("text"), F.col("right")).alias("line")),
+        lambda s, d: _kwic(s, d, "chars", 30).select("doc_id", "occ", T.kwic_line(F.col("left"), F.col("text"), F.col("right")).alias("line")),
         _SEG + " SELECT doc_id, occ, substr(replace(substr(body, greatest(start - 30, 0) + 1, start - greatest(start - 30, 0)) || '[' || text || ']' || substr(body, start + length(text) + 1, 30), chr(10), ' '), 1, 100) AS line FROM occ",
     ),
     "filter_source_prefix": (lambda s, d: docs(s, d).where(F.col("source").startswith("src1")).select("doc_id", "source"), "SELECT doc_id, source FROM documents WHERE starts_with(source, 'src1')"),
@@ -114,7 +123,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT
     "length_window": (lambda s, d: docs(s, d).where(F.length("body") >= 1000).select("doc_id", F.length(F.substring("body", 1, 15000)).alias("n")), "SELECT doc_id, least(length(text), 15000)::INTEGER AS n FROM documents WHERE length(text) >= 1000"),
     "junk_filter": (
         lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", U.is_junk(F.col("url"), F.col("html")).alias("junk")),
-        r"SELECT page_id, regexp_matches(url, '(?i)\((disambiguation|desambiguación)\)|^(list of|anexo:|lista de|category:|categoría:|template:|plantilla:)') OR regexp_matches(substr(html, 1, 400), '(?i)may refer to:|can refer to|puede referirse a|puede hacer referencia a') AS junk FROM pages",
+        r"SELECT page_id, regexp_matches(url, '(?i)(disambiguation|list of|desambiguación|anexo:|lista de|véase también)') OR regexp_matches(substr(html, 1, 400), '(?i)(may refer to|may also refer to|puede referirse a|hace referencia a varios)') AS junk FROM pages",
     ),
     "clean_body": (
         lambda s, d: docs(s, d).select("doc_id", F.md5(U.clean_body(F.concat("body", F.lit("\nReferences\nx"))).cast("binary")).alias("body")),
@@ -136,7 +145,7 @@ SELECT doc_id, lang FROM c UNION ALL SELECT doc_id, lang FROM x WHERE z <= 101 -
     "summary_per_group": (lambda s, d: P.summary(_thin(s, d), "source"), "SELECT source, count(*) AS n FROM documents GROUP BY source"),
     "n_articles": (lambda s, d: seg(s, d).agg(F.count(F.lit(1)).alias("n_units"), F.countDistinct("doc_id").alias("n_articles")), _SEG + " SELECT count(*) AS n_units, count(DISTINCT doc_id) AS n_articles FROM occ"),
     "one_stage_kwic": (
-        lambda s, d: _digest(U.kwic(P.random(P.cap_per_group(seg(s, d), 2, "doc_id", KEY, 0), 60, KEY, 0), "chars", 30)),
+        lambda s, d: _digest(U.kwic(P.random(P.cap_per_group(seg(s, d).drop("body"), 2, "doc_id", KEY, 0), 60, KEY, 0), "chars", 30, docs(s, d))),
         _SEG.replace("occ AS (", "every AS (", 1) + f", occ AS (SELECT * FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {_md5(0, 'doc_id', 'start')}, start) <= 2) ORDER BY {_md5(0, 'doc_id', 'start')}, doc_id, start LIMIT 60)"
         + _KWIC.format(a="greatest(start - 30, 0)", b="least(start + length(text) + 30, length(body))", join=""),
     ),
@@ -160,7 +169,35 @@ SELECT doc_id, occ, start, {_END}, md5(substr(body, greatest(start - 30, 0) + 1,
         lambda s, d: docs(s, d).select(F.explode(F.split(F.lower("body"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100),
         r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 100",
     ),
-    "word_contexts": (lambda s, d: U.word_contexts(docs(s, d), WORD), None),
+    "junk_pages": (
+        lambda s, d: docs(s, d).select("doc_id", U.is_junk(F.concat(F.lit("x "), F.get(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % len(_TITLES)).cast("int"))), F.concat(F.get(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % len(_HEADS)).cast("int")), "body")).alias("junk")),
+        "WITH t AS (SELECT doc_id, lower('x ' || ([" + ", ".join(f"'{x}'" for x in _TITLES) + f"])[doc_id % {len(_TITLES)} + 1]) AS title, lower(substr(([" + ", ".join(f"'{x}'" for x in _HEADS) + f"])[doc_id % {len(_HEADS)} + 1] || text, 1, 400)) AS head FROM documents)"
+        """ SELECT doc_id, contains(title, 'disambiguation') OR contains(title, 'list of') OR contains(title, 'desambiguación') OR contains(title, 'anexo:') OR contains(title, 'lista de') OR contains(title, 'véase también')
+ OR contains(head, 'may refer to') OR contains(head, 'may also refer to') OR contains(head, 'puede referirse a') OR contains(head, 'hace referencia a varios') AS junk FROM t""",
+    ),
+    "clean_appendix": (
+        lambda s, d: docs(s, d).select("doc_id", F.md5(U.clean_body(F.concat("body", F.lit(" \n "), F.get(F.array(*map(F.lit, _HEADERS)), (F.col("doc_id") % len(_HEADERS)).cast("int")), F.lit(" \nx"))).cast("binary")).alias("body")),
+        "WITH t AS (SELECT doc_id, text, ([" + ", ".join(f"'{x}'" for x in _HEADERS) + f"])[doc_id % {len(_HEADERS)} + 1] AS h FROM documents)"
+        r""" SELECT doc_id, md5(CASE WHEN lower(h) IN ('see also', 'references', 'external links', 'further reading', 'notes', 'bibliography', 'véase también', 'referencias', 'enlaces externos', 'notas', 'bibliografía')
+ THEN regexp_replace(text, '\s+$', '') ELSE text || ' ' || chr(10) || ' ' || h || ' ' || chr(10) || 'x' END) AS body FROM t""",
+    ),
+    "word_contexts": (
+        lambda s, d: U.word_contexts(docs(s, d), WORD),
+        r"""WITH s AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')) AS s FROM documents),
+c AS (SELECT doc_id, list_transform(list_filter(s, lambda x: regexp_matches(lower(x), '\bthe\b') AND len(regexp_split_to_array(x, '\s+')) >= 5), lambda x: regexp_split_to_array(x, '\s+')) AS c FROM s),
+x AS (SELECT doc_id, unnest(c) AS w, unnest(range(len(c))) AS ctx FROM c),
+o AS (SELECT doc_id, w, ctx, list_filter(range(len(w)), lambda i: regexp_replace(lower(w[i + 1]), '[^\p{L}\p{N}_]', '', 'g') = 'the') AS p FROM x),
+y AS (SELECT doc_id, w, ctx, unnest(p) AS position, unnest(range(len(p))) AS occ FROM o)
+SELECT doc_id, format('ctx_{:03d}_occ_{:02d}', ctx, occ) AS key, position::INTEGER AS position,
+  array_to_string(list_transform(w, lambda z, i: CASE WHEN i = position + 1 THEN '[TARGET]' || z || '[/TARGET]' ELSE z END), ' ') AS marked FROM y""",
+    ),
+    "word_contexts_limited": (
+        lambda s, d: U.word_contexts(docs(s, d), WORD, 2).groupBy("doc_id").agg(F.count_distinct(F.substring("key", 1, 7)).alias("n")),
+        r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents),
+c AS (SELECT doc_id, list_filter(s, lambda x: regexp_matches(lower(x), 'the') AND len(regexp_split_to_array(trim(x, chr(10) || ' '), '\s+')) >= 5)[1:2] AS c FROM s),
+w AS (SELECT doc_id, len(list_filter(c, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: regexp_replace(lower(y), '[^\p{L}\p{N}_]', '', 'g') = 'the')) > 0)) AS n FROM c)
+SELECT doc_id, n FROM w WHERE n > 0""",
+    ),
     "merge_no_overwrite": (
         lambda s, d: (a := _thin(s, d).where("lang = 'en'")).unionByName(_thin(s, d).join(a, "doc_id", "left_anti")).select("doc_id", "lang"),
         "SELECT doc_id, lang FROM documents",
