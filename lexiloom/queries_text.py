@@ -194,7 +194,7 @@ SELECT doc_id, format('ctx_{:03d}_occ_{:02d}', ctx, occ) AS key, position::INTEG
     "word_contexts_limited": (
         lambda s, d: U.word_contexts(docs(s, d), WORD, 2).groupBy("doc_id").agg(F.count_distinct(F.substring("key", 1, 7)).alias("n")),
         r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents),
-c AS (SELECT doc_id, list_filter(s, lambda x: regexp_matches(lower(x), 'the') AND len(regexp_split_to_array(trim(x, chr(10) || ' '), '\s+')) >= 5)[1:2] AS c FROM s),
+c AS (SELECT doc_id, list_filter(s, lambda x: regexp_matches(lower(x), '\bthe\b') AND len(regexp_split_to_array(trim(x, chr(10) || ' '), '\s+')) >= 5)[1:2] AS c FROM s),
 w AS (SELECT doc_id, len(list_filter(c, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: regexp_replace(lower(y), '[^\p{L}\p{N}_]', '', 'g') = 'the')) > 0)) AS n FROM c)
 SELECT doc_id, n FROM w WHERE n > 0""",
     ),
