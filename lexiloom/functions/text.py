@@ -169,3 +169,30 @@ def html_unescape(x: Column) -> Column:
         return s.map(lambda v: None if v is None else html.unescape(v))
 
     return run(x)
+
+
+def highlight(words: Column, at: Column, most: int = 15) -> Column:
+    """The first words in one string, the one at a position between **."""
+    return F.concat(F.array_join(F.slice(F.transform(words, lambda w, i: F.when(i == at, F.concat(F.lit("**"), w, F.lit("**"))).otherwise(w)), 1, most), " "), F.lit("..."))
+
+
+def decode_separator(x: str) -> str:
+    """A separator as typed: escapes are decoded, and none, empty or ninguno is no separator."""
+    return "" if str(x).strip().lower() in ("none", "empty", "ninguno") else bytes(str(x), "utf-8").decode("unicode_escape")
+
+
+def metadata_key(x: str) -> str | None:
+    """A metadata key as typed; skip, none, no, - or nothing is no key."""
+    value = str(x).strip()
+    return None if value.lower() in ("", "skip", "none", "no", "-") else value
+
+
+def entry_path(name: str, root: str = "corpora") -> str:
+    """The path of a named corpus below the root; a name that leads out of it is an error."""
+    import posixpath
+
+    top = posixpath.normpath(root)
+    path = posixpath.normpath(posixpath.join(top, str(name).strip().strip("/\\")))
+    if path != top and not path.startswith(top + "/"):
+        raise ValueError(f"the corpus must be inside {root!r}")
+    return path

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from lexiloom.operators import sampling as P
 from lexiloom.operators import units as U
@@ -44,3 +45,44 @@ def run(documents: DataFrame, c: Config, log: TraceLog | None = None) -> DataFra
     occ = P.apply(occ, c.occurrence_strategy, c.n_occurrences, key, "source", c.seed)
     log.record("occurrences", asdict(c))
     return U.kwic(occ, c.window, c.size, documents)
+
+
+def cap_feasibility(n_articles: int, cap: int | None, target: int | None) -> dict[str, int | bool | None]:
+    """Whether a cap per article lets the target be reached, the ceiling, and what would be needed (None: no ceiling, or no articles)."""
+    if not cap or not target:
+        return {"feasible": True, "ceiling": None, "needed_articles": None, "needed_cap": None}
+    ceiling = n_articles * cap
+    return {"feasible": ceiling >= target, "ceiling": ceiling, "needed_articles": -(-target // cap), "needed_cap": -(-target // n_articles) if n_articles else None}
+
+
+def needs_count(strategy: str) -> bool:
+    return strategy in ("random", "stratified", "reservoir")
+
+
+def strategies(n_sources: int) -> list[str]:
+    """What can be chosen: strata only where there is more than one source."""
+    return ["exhaustive", "random", "reservoir", *(["stratified"] if n_sources > 1 else [])]
+
+
+def check(c: Config) -> None:
+    """Errors of a configuration before anything runs."""
+    for strategy, n in ((c.document_strategy, c.n_documents), (c.occurrence_strategy, c.n_occurrences)):
+        if strategy and strategy not in strategies(2):
+            raise ValueError(f"unknown strategy {strategy!r}")
+        if strategy and needs_count(strategy) and not n:
+            raise ValueError(f"{strategy} needs a number")
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df with a counter that the query itself fills: its rows and documents, without a job of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("doc_id").alias("n_documents")), seen
+
+
+def sentence_or_document(documents: DataFrame, unit: str, c: Config) -> DataFrame:
+    """Sentences or whole documents as units; they are sampled only where a number is set."""
+    if unit not in ("sentence", "document"):
+        raise ValueError("unit must be sentence or document")
+    docs = documents.where(documents["source"].startswith(c.source)) if c.source else documents
+    units = U.sentences(docs) if unit == "sentence" else U.whole(docs)
+    return P.apply(units, c.occurrence_strategy, c.n_occurrences, ["doc_id", "start"], "source", c.seed) if c.n_occurrences else units

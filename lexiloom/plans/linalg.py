@@ -56,6 +56,57 @@ def singular_values(rows: DataFrame, vector: str) -> np.ndarray:
     return np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0))
 
 
+def svd(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Thin SVD of the rows as a matrix: (key, vector) of left vectors, singular values, right vectors (as rows).
+
+    The right ones come from the Gram matrix, and each row of the left ones from its own row alone.
+    """
+    from lexiloom.functions import vectors as V
+
+    n, _, g = gram(rows, vector)
+    values, axes = np.linalg.eigh(g)
+    order = np.argsort(-values)[: min(n, len(values))]
+    s, right = np.sqrt(np.maximum(values[order], 0)), axes[:, order].T
+    turn = right / np.where(s > s.max(initial=0) * 1e-10, s, np.inf)[:, None]
+    lit = F.array(*[F.array(*[F.lit(float(x)) for x in a]) for a in turn])
+    left = rows.where(F.col(vector).isNotNull()).select(key, F.transform(lit, lambda a: V.dot(a, F.col(vector).cast("array<double>"))).alias("vector"))
+    return left, s, right
+
+
+def feature_subspace(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(key, vector): PCA of the transposed matrix, whose k components of length 1 have a coordinate a row.
+
+    A row is centred by its own mean; the components are the left singular vectors of the centred rows.
+    """
+    from lexiloom.functions import vectors as V
+
+    v = F.col(vector).cast("array<double>")
+    centred = rows.where(F.col(vector).isNotNull()).select(key, V.let(V.mean(v), lambda m: F.transform(v, lambda x: x - m)).alias("c"))
+    left, _, _ = svd(centred, key, "c")
+    return left.select(key, F.slice("vector", 1, k).alias("vector"))
+
+
+def spectrum(matrix: np.ndarray, percent: float = 95) -> dict:
+    """Eigenvalues of a symmetric matrix, largest first, their percentages and running sums, and the effective dimension."""
+    values = np.sort(np.linalg.eigvalsh(matrix))[::-1]
+    run = np.cumsum(values) / values.sum() * 100
+    return {"eigenvalues": values, "percent": values / values.sum() * 100, "cumulative": run, "effective": int((run <= percent).sum()) + 1}
+
+
+def determinant(rows: DataFrame, vector: str) -> float:
+    """Of the covariance matrix."""
+    return float(np.linalg.det(covariance(rows, vector)))
+
+
+def correlation(rows: DataFrame, vector: str) -> np.ndarray:
+    """Of the components over all rows; a constant component correlates with nothing."""
+    c = covariance(rows, vector)
+    sd = np.sqrt(np.diag(c))
+    out = np.divide(c, np.outer(sd, sd), out=np.zeros_like(c), where=np.outer(sd, sd) > 0)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
 def ratios(x: np.ndarray) -> np.ndarray:
     """Explained-variance ratios of z-scored columns, min(shape) - 1 of them."""
     sd = x.std(axis=0)
@@ -116,6 +167,21 @@ def quantum_correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a @ b.T) ** 2).sum() / (len(a) * len(b)))
 
 
+def quantum_correlations(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Both orders; equal but for rounding."""
+    return quantum_correlation(a, b), quantum_correlation(b, a)
+
+
+def orthogonality(a: np.ndarray, b: np.ndarray, most: float = 0.01) -> tuple[bool, float]:
+    """Whether the rows of both product spaces are uncorrelated, and the largest correlation off the diagonal."""
+    worst = 0.0
+    for space in entangle(a, b, reorthogonalize=False):
+        if len(space) > 1:
+            r = np.corrcoef(space)
+            worst = max(worst, float(np.abs(r[~np.eye(len(r), dtype=bool)]).max()))
+    return worst <= most, worst
+
+
 def project(space: np.ndarray, v: np.ndarray) -> np.ndarray:
     return unit(space.T @ (space @ unit(v)))
 
@@ -159,23 +225,69 @@ def bg_chsh(va: np.ndarray, vb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> t
     return tuple(round(x, 3) for x in chsh(e, at(sa, va), at(sb, vb), at(sb, va), at(sa, vb)))
 
 
-def pair_study(pairs: DataFrame, contours: DataFrame, lexicon: DataFrame, k: int = 2) -> DataFrame:
-    """(word_a, word_b), (word, vector) rows and (word, vector) -> correlation, cosine and CHSH of each pair.
+def grams_by_word(contours: DataFrame) -> DataFrame:
+    """(word, n, s, g): rows, their sum and the flat sum of their outer products of each word, however large its contour.
 
-    A word's contour becomes its k components in one grouped task; pairs meet them by two equi-joins and are judged row
-    by row, a pair that fails having its error in a column.
+    Each task adds up what it holds of a word, one row a word and task meets another, and those are added element by element.
     """
+    kind = contours.schema["word"].dataType.simpleString()
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["vector"].tolist(), float)
-        _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-        return pd.DataFrame({"word": [pdf["word"].iloc[0]], "space": [vt[:k].ravel().tolist()]})
+    def partial(batches):
+        held: dict = {}
+        for pdf in batches:
+            for word, group in pdf.groupby("word", sort=False):
+                x = np.array(group["vector"].tolist(), float)
+                mine = np.r_[len(x), x.sum(axis=0), (x.T @ x).ravel()]
+                held[word] = held[word] + mine if word in held else mine
+                if len(held) > 256:
+                    yield pd.DataFrame({"word": list(held), "x": [v.tolist() for v in held.values()]})
+                    held = {}
+        if held:
+            yield pd.DataFrame({"word": list(held), "x": [v.tolist() for v in held.values()]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"word": [pdf["word"].iloc[0]], "x": [np.sum(np.array(pdf["x"].tolist()), axis=0).tolist()]})
+
+    some = contours.select("word", "vector").where("word is not null and vector is not null").mapInPandas(partial, f"word {kind}, x array<double>")
+    return some.groupBy("word").applyInPandas(total, f"word {kind}, x array<double>")
 
+
+def contour_spaces(contours: DataFrame, k: int) -> DataFrame:
+    """(word, space): the k principal axes of each word's contour, flat; from Gram sums, so no contour meets in one task."""
+    kind = contours.schema["word"].dataType.simpleString()
+
+    def axes(batches):
+        for pdf in batches:
+            out = []
+            for x in pdf["x"]:
+                x = np.asarray(x, float)
+                d = round(((4 * len(x) - 3) ** 0.5 - 1) / 2)
+                n, s, g = x[0], x[1 : d + 1], x[d + 1 :].reshape(d, d)
+                values, vectors = np.linalg.eigh(g - np.outer(s, s) / n)
+                out.append(vectors[:, np.argsort(-values)[: min(k, int(n), d)]].T.ravel().tolist())
+            yield pd.DataFrame({"word": pdf["word"], "space": out})
+
+    return grams_by_word(contours).mapInPandas(axes, f"word {kind}, space array<double>")
+
+
+def pair_study(pairs: DataFrame, contours: DataFrame, lexicon: DataFrame, k: int = 2) -> DataFrame:
+    """(word_a, word_b), (word, vector) rows and (word, vector) -> correlation, cosine and CHSH of each pair.
+
+    A word's contour becomes its k components from distributed sums; pairs meet them by two equi-joins and are judged row
+    by row, a pair that fails having its error in a column. With a column `concept`, the contours are those of the two
+    words and the concept's vector is projected in the place of both.
+    """
     kind = contours.schema["word"].dataType.simpleString()
-    spaces = contours.select("word", "vector").groupBy("word").applyInPandas(reduce, f"word {kind}, space array<double>").join(lexicon, "word")
+    spaces = contour_spaces(contours, k)
+    by_concept = "concept" in pairs.columns
     rows = pairs
+    if by_concept:
+        rows = rows.join(lexicon.select(F.col("word").alias("concept"), F.col("vector").alias("va")), "concept").withColumn("vb", F.col("va"))
+    else:
+        spaces = spaces.join(lexicon, "word")
     for s in "ab":
-        rows = rows.join(spaces.select(F.col("word").alias(f"word_{s}"), F.col("space").alias(f"s{s}"), F.col("vector").alias(f"v{s}")), f"word_{s}")
+        own = [] if by_concept else [F.col("vector").alias(f"v{s}")]
+        rows = rows.join(spaces.select(F.col("word").alias(f"word_{s}"), F.col("space").alias(f"s{s}"), *own), f"word_{s}")
 
     def judge(batches):
         for pdf in batches:

@@ -26,13 +26,16 @@ def documents_from_units(units: DataFrame) -> DataFrame:
     return units.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", piece.alias("p")))), lambda x: x["p"]), " ").alias("text"))
 
 
-def lsa(weights: DataFrame, k: int = 100, oversample: int = 10, rounds: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def lsa(weights: DataFrame, k: int = 100, oversample: int = 20, rounds: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Randomised SVD of terms x documents: (term, vector), (doc_id, vector), singular values.
 
     Each half round multiplies the long matrix by a table of short vectors with one join and one aggregate; only
-    (k + oversample)^2 Gram matrices reach the driver.
+    (k + oversample)^2 Gram matrices reach the driver. Tables of vectors are written between the steps and go two rounds later.
     """
+    from lexiloom.runtime import Steps
+
     m = k + oversample
+    steps = Steps(weights.sparkSession, "lsa")
     seeded = lambda c: F.array(*[F.xxhash64(F.lit(seed + i), c).cast("double") / 2.0**63 for i in range(m)])
 
     def gram(df: DataFrame) -> np.ndarray:
@@ -52,19 +55,20 @@ def lsa(weights: DataFrame, k: int = 100, oversample: int = 10, rounds: int = 3,
                 x = np.array(pdf["vector"].tolist()).reshape(len(pdf), -1)
                 yield pd.DataFrame({key: pdf[key], "vector": (x @ turn).tolist() if len(pdf) else []})
 
-        return df.select(key, "vector").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<double>").cache()
+        return df.select(key, "vector").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, vector array<double>")
 
     def times(vectors: DataFrame, on: str, to: str, width: int) -> DataFrame:
         joined = weights.join(vectors, on)
-        return joined.groupBy(to).agg(F.array(*[F.sum(F.col("w") * F.get(F.col("vector"), i)) for i in range(width)]).alias("vector")).cache()
+        return steps.settle(joined.groupBy(to).agg(F.array(*[F.sum(F.col("w") * F.get(F.col("vector"), i)) for i in range(width)]).alias("vector")))
 
     terms = weights.select("term").distinct()
-    q = terms.select("term", seeded(F.col("term")).alias("vector"))
+    q = steps.settle(terms.select("term", seeded(F.col("term")).alias("vector")))
     for _ in range(rounds):
-        q = orthonormal(q, "term")
+        steps.drop(steps.n - 3)
+        q = steps.settle(orthonormal(q, "term"))
         b = times(q, "term", "doc_id", len(q.first()["vector"]))
         q = times(b, "doc_id", "term", len(b.first()["vector"]))
-    q = orthonormal(q, "term")
+    q = steps.settle(orthonormal(q, "term"))
     b = times(q, "term", "doc_id", len(q.first()["vector"]))  # documents x m = A^T Q
     values, axes = np.linalg.eigh(gram(b))
     order = np.argsort(-values)[:k]

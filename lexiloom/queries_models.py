@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from lexiloom.operators import tokens as K
 from lexiloom.plans import linalg as L
 from lexiloom.plans import lsa as A
 from lexiloom.queries_vectors import WIDTH, emb
+from lexiloom.runtime import scratch_dir
 from lexiloom.streaming.reservoir import reservoir
 
 
@@ -57,10 +56,9 @@ def _contour(s: SparkSession, d: str) -> DataFrame:
 def _stream(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
     import uuid
 
-    root = f"{shared.rstrip('/')}/reservoir-{uuid.uuid4().hex}"
+    root = f"{scratch_dir(s)}/reservoir-{uuid.uuid4().hex}"
     schema: StructType = s.read.parquet(f"{d}/events.parquet").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).select("event_id", "user_id", "event_type")
     reservoir(stream, 100, ["event_id"], f"{root}/out", f"{root}/log", 2).awaitTermination()

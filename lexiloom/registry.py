@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom import queries_models, queries_study, queries_text, queries_vectors
+from lexiloom import queries_models, queries_more, queries_study, queries_text, queries_vectors
 
-_PARTS = (queries_text, queries_vectors, queries_study, queries_models)
+_PARTS = (queries_text, queries_vectors, queries_study, queries_models, queries_more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

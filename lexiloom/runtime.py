@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,34 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("lexiloom", os.path.relpath(full, here)))
     spark.sparkContext.addPyFile(to)
     _shipped.add(app)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where none is set and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lexiloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+class Steps:
+    """Tables between the steps of an iteration, as Parquet in the shared folder: a lost executor costs one step."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, before: int) -> None:
+        """Deletes all tables up to number `before`."""
+        jvm = self.spark._jvm
+        for k in range(1, before + 1):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -93,7 +93,9 @@ def from_single_file(spark: SparkSession, path: str, separator: str = "", header
 def file_tree(spark: SparkSession, folder: str, extension: str = ".txt") -> DataFrame:
     """n_files, least and greatest depth, first five paths."""
     rows = files(spark, folder, extension, True).select("path", (F.size(F.split("path", "/")) - 1).alias("depth"))
-    return rows.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.min("depth"), F.lit(0)).alias("min_depth"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("examples"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.min("depth"), F.lit(0)).alias("min_depth"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    first = rows.select("path").distinct().orderBy("path").limit(5).agg(F.array_sort(F.collect_list("path")).alias("examples"))
+    return counts.crossJoin(first)
 
 
 def save(df: DataFrame, path: str, stage: str = "") -> None:
@@ -116,10 +118,80 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", "d.body", "d.meta")
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of one text file, numbered from 1."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "value"))
+    return rows.select((F.col("i") + 1).alias("line"), "value")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """(line, value) -> (line, word_a, word_b) of values a-b; others go."""
+    rows = rows.select("line", F.split(F.trim("value"), "-").alias("p")).where(F.size("p") == 2)
+    return rows.select("line", F.trim(F.get("p", 0)).alias("word_a"), F.trim(F.get("p", 1)).alias("word_b"))
+
+
 def pairs(spark: SparkSession, path: str) -> DataFrame:
-    """word_a, word_b of lines a-b, with the line number; others go."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.split("value", "-").alias("p"))
-    return rows.where(F.size("p") == 2).select(F.trim(F.get("p", 0)).alias("word_a"), F.trim(F.get("p", 1)).alias("word_b"))
+    """(line, word_a, word_b) of the lines a-b of a file; others go."""
+    return pairs_of(lines(spark, path))
+
+
+def concepts_of(rows: DataFrame) -> DataFrame:
+    """(line, value) -> (line, concept) without the quotes around it."""
+    return rows.select("line", F.regexp_replace(F.trim("value"), '^"+|"+$', "").alias("concept")).where("concept <> ''")
+
+
+def concepts(spark: SparkSession, path: str) -> DataFrame:
+    return concepts_of(lines(spark, path))
+
+
+def by_line(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that stand on the same line."""
+    return a.join(b, "line")
+
+
+def year_newspaper(path: Column) -> Column:
+    """map of year, newspaper and article_id: the first folder of four digits that two parts follow, the next part, the stem; else empty."""
+    parts = F.split(path, "/")
+    head = F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0)))
+    at = F.array_position(F.transform(head, lambda x: x.rlike("^[0-9]{4}$")), True)
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    found = F.create_map(F.lit("year"), F.get(parts, (at - 1).cast("int")), F.lit("newspaper"), F.get(parts, at.cast("int")), F.lit("article_id"), stem)
+    return F.when(at > 0, found).otherwise(F.expr("map()").cast("map<string,string>"))
+
+
+def folder_values(paths: DataFrame, most: int = 8) -> DataFrame:
+    """(path) -> (level, value, rank): the first names of folders of each level, sorted."""
+    from pyspark.sql import Window as W
+
+    parts = F.split("path", "/")
+    names = paths.select(F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("level", "value")).distinct()
+    return names.withColumn("rank", F.row_number().over(W.partitionBy("level").orderBy("value"))).where(F.col("rank") <= most)
+
+
+def first_by_priority(paths: DataFrame, names: list[str]) -> DataFrame:
+    """(path) of run/name -> (run, path): of each run the file whose name comes first in the list."""
+    rank = F.array_position(F.array(*map(F.lit, names)), F.element_at(F.split("path", "/"), -1))
+    rows = paths.where(F.size(F.split("path", "/")) >= 2).select("path", F.element_at(F.split("path", "/"), -2).alias("run"), rank.alias("rank")).where("rank > 0")
+    return rows.groupBy("run").agg(F.min_by("path", "rank").alias("path"))
+
+
+def to_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header; mode overwrite or append."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode must be overwrite or append")
+    df.write.mode(mode).option("header", True).csv(path)
+
+
+def save_lsa(path: str, terms: DataFrame, documents: DataFrame, values: list[float], convention: dict[str, str] | None = None) -> dict[str, str]:
+    """Vectors of terms and documents, singular values and a metadata row below a folder; what stands where."""
+    spark = terms.sparkSession
+    out = {k: f"{path.rstrip('/')}/{k}" for k in ("word_vectors", "document_vectors", "singular_values", "metadata")}
+    terms.write.mode("overwrite").parquet(out["word_vectors"])
+    documents.write.mode("overwrite").parquet(out["document_vectors"])
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "k int, value double").write.mode("overwrite").parquet(out["singular_values"])
+    meta = {"method": "lsa", "n_components": str(len(values)), **(convention or {})}
+    spark.createDataFrame([(meta,)], "metadata map<string,string>").write.mode("overwrite").json(out["metadata"])
+    return out
 
 
 def vector_response(x: Column) -> Column:
