@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -64,6 +65,12 @@ class Encoder(Protocol):
     def __call__(self, tokens: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(1 << 16)
+def _hashed(token: str, width: int) -> np.ndarray:
+    seed = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+    return np.random.Generator(np.random.PCG64(seed)).standard_normal(width)
+
+
 class HashEncoder:
     """A deterministic stand-in for a model: a token's vector by layer and position comes from its hash."""
 
@@ -71,12 +78,16 @@ class HashEncoder:
         self.width, self.layers = width, layers
 
     def static(self, token: str) -> np.ndarray:
-        seed = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-        return np.random.Generator(np.random.PCG64(seed)).standard_normal(self.width)
+        return _hashed(token, self.width)
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
         base = np.array([self.static(t) for t in tokens]).reshape(len(tokens), self.width)
-        around = np.array([base[max(0, i - 1) : i + 2].mean(axis=0) for i in range(len(tokens))]).reshape(base.shape)
+        around, n = base.copy(), np.ones((len(tokens), 1))
+        around[1:] += base[:-1]
+        around[:-1] += base[1:]
+        n[1:] += 1
+        n[:-1] += 1
+        around /= n
         return np.array([base * (1 - k / (2 * self.layers)) + around * k / (2 * self.layers) for k in range(1, self.layers + 1)])
 
 
