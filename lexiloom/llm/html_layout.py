@@ -12,8 +12,12 @@ the HTML tags that end them. The text of formulas shows, and of svg that of text
 
 Scale: page by page, no shuffle, in Arrow batches; a page's tree is all that is held at a time.
 
+Visibility follows elements, the hidden attribute and inline style; the rules of style sheets are not read, so an element that
+only a class hides shows. Text that stands in a table outside its cells comes before the table, as in browsers.
+
 Defined cases: null html gives null text and zeros; an empty page gives empty text; an unclosed tag or comment at the end
-is dropped as browsers do; null ids and repeated rows are rendered as they come; other columns are not read.
+is dropped as browsers do; null ids and repeated rows are rendered as they come; a very long page is rendered whole, in one
+task; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -147,10 +151,18 @@ def parse(page: str) -> Node:
         if near[kind] > 0:
             pop_to(near[kind])
 
+    def say(text: str) -> None:
+        here = stack[-1][0]
+        if not here.ns and (here.tag in ("table", "tr") or here.tag in GROUPS) and near["table"] > 0 and text.strip(" \t\n\f\r"):
+            before = stack[near["table"] - 1][0].kids  # the table is the last of them
+            before.insert(len(before) - 1, text)
+        else:
+            here.kids.append(text)
+
     at = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
-            stack[-1][0].kids.append(html.unescape(page[at : m.start()]))
+            say(html.unescape(page[at : m.start()]))
         here = stack[-1][0]
         if here.ns and page.startswith("<![CDATA[", m.start()):
             at = page.find("]]>", m.start() + 9)
@@ -257,7 +269,7 @@ def parse(page: str) -> Node:
             stack[-1][0].kids.append(body)
             at = end
     if at < len(page):
-        stack[-1][0].kids.append(html.unescape(page[at:]))
+        say(html.unescape(page[at:]))
     return root
 
 
@@ -352,6 +364,11 @@ def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for col, across, lines in cells:
             if across == 1:
                 width[col] = max(width.get(col, 0), max(map(len, lines), default=0))
+    for col, across, lines in sorted((x for cells in placed for x in cells if x[1] > 1), key=lambda x: x[:2]):
+        seen = [c for c in range(col, col + across) if width.get(c, 0)] or [col]  # what a spanning cell lacks goes to its last column
+        lack = max(map(len, lines), default=0) - sum(width.get(c, 0) + 2 for c in seen) + 2
+        if lack > 0:
+            width[seen[-1]] = width.get(seen[-1], 0) + lack
     begins, total = {}, 0
     for col in range(max((c + a for cells in placed for c, a, _ in cells), default=0)):
         begins[col] = total
@@ -466,6 +483,7 @@ def render(page: str) -> tuple[str, int, int]:
             lines = writers.pop().close()
             tables[-1][-1].append((lines, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
         elif tag == "table" and tables:
+            w.flush()
             grid = tables.pop()
             rows += sum(any(c[0] for c in r) for r in grid)
             for line in align(grid):
