@@ -3,7 +3,7 @@
 Texts are bags of unigrams and bigrams of lower-cased tokens (runs of word characters or of punctuation) hashed to
 BUCKETS. The raw model is the bucket frequencies of all documents; the target model those of labelled good documents, a
 hash-ordered sample of at most TARGET_ROWS of them. A document's log weight is the sum of log(target / raw) over its
-n-grams; adding Gumbel noise keyed by a hash of its id and keeping the k best samples k documents without replacement in
+n-grams; adding Gumbel noise keyed by a hash of its id and text and keeping the k best samples k documents without replacement in
 proportion to their weights. k is the share of good documents among the labelled ones, of all documents.
 
 Scale: two scans of the texts; of the first, each task emits one row a bucket (BUCKETS of them, whatever the data), and
@@ -11,9 +11,10 @@ only the summed table of BUCKETS rows reaches the driver and the second scan. Th
 histograms of 16 bits each over thin rows, so nothing is sorted and at most 65536 counts are collected at a time.
 
 Defined cases: null and empty texts have weight 0 and take part in the sampling; rows that repeat an id and text share
-a key and are kept or dropped together; a null id is an id of its own; without good labels every weight is 0, and
-without any labels half the documents are kept; labels of ids that are not there are ignored; repeated labels count once
-each; an empty table gives an empty result; other columns are not read.
+a key and are kept or dropped together, so where the k-th best is one of them more than k are kept; rows that repeat an id with
+other texts, and null ids, are documents of their own; without good labels every weight is 0, and without any labels half the
+documents are kept; labels of ids that are not there are ignored; repeated labels count once each; a very long text is counted
+whole, in one task; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
         raw[b] += r
         target[b] += g
     weights = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > SMOOTHING * buckets else np.zeros(buckets)
-    scored = rows.select("doc_id", F.xxhash64(F.lit(seed), F.lit("gumbel"), "doc_id").alias("noise"), "text")
+    scored = rows.select("doc_id", F.xxhash64(F.lit(seed), F.lit("gumbel"), "doc_id", F.xxhash64("text")).alias("noise"), "text")
     scored = scratch.save(scored.mapInArrow(_scorer(weights), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_grams long, log_weight double, score double, key long"), "scores")
     n = scored.count()
     k = round(fraction * n)
