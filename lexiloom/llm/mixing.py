@@ -10,9 +10,10 @@ buckets without sampling; a source of n documents has about sqrt(n) buckets of a
 running sum within a bucket nor the one over a source's buckets ever holds more than that in one task, however hot the
 source. Only the source figures (one row a source) meet in one task to be ranked and shared out.
 
-Defined cases: null text and text without words have size 0 and take 0; null source is a source of its own; repeated rows
-(same id and text) are separate documents, ordered by id and size and so interchangeable; null ids sort first; an empty
-table gives an empty result; other columns of documents are not read by the query and are kept by ``mix``.
+Defined cases: null text and text without words have size 0 and take 0; null source is a source of its own; a null id is
+keyed by a hash of its text, so that many of them spread as ids do; rows that repeat an id are separate documents, ordered by
+size and a hash of the text, and interchangeable only if they repeat the text too; a very long text counts whole; an empty table
+gives an empty result; other columns, whatever their names, are not read by the query and are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ MAX_EPOCHS = 3
 KEY_BITS = 48
 
 
-def hash_key(seed: int, id_: Column, size: Column) -> Column:
+def hash_key(seed: int, id_: Column, size: Column, text_hash: Column) -> Column:
     """A uniform key of KEY_BITS bits: the first hexadecimal digits of an MD5, which SQL engines share."""
-    told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("null")), size.cast("string"))
+    told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.concat(F.lit("null"), text_hash.cast("string"))), size.cast("string"))
     return F.conv(F.substring(F.md5(told), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -62,10 +63,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
 
 def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0,
          weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row a document: doc_id, name (of the source), size, source_size, target, taken, epochs (whole copies), part (words of one more)."""
+    """One row a document: doc_id, t (hash of the text), name (of the source), size, source_size, target, taken, epochs (whole copies), part (words of one more)."""
     scratch = Scratch(spark, "mix")
-    thin = docs.select(F.col(id_col).alias("doc_id"), _name(F.col(source)).alias("name"), word_count(F.col(text)).alias("size"))
-    thin = scratch.save(thin.withColumn("key", hash_key(seed, F.col("doc_id"), F.col("size"))), "sizes")
+    thin = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), _name(F.col(f"`{source}`")).alias("name"), word_count(F.col(f"`{text}`")).alias("size"))
+    thin = scratch.save(thin.withColumn("key", hash_key(seed, F.col("doc_id"), F.col("size"), F.col("t"))), "sizes")
     sums = thin.groupBy("name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     goal = scratch.save(targets(sums, weights, max_epochs).withColumn("n_buckets", F.ceil(F.sqrt("n_rows"))), "targets")
 
@@ -74,14 +75,14 @@ def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str
     held = scratch.save(rows.groupBy("name", "bucket").agg(F.sum("size").alias("words")), "buckets")
     over = W.partitionBy("name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = held.select("name", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("start"))
-    within = W.partitionBy("name", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("name", "bucket").orderBy("key", "doc_id", "size", "t").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["name", "bucket"])
     size, whole = F.col("size"), F.col("source_size")
     epochs = F.when(whole > 0, F.floor(F.col("target") / F.when(whole > 0, whole))).otherwise(0).cast("long")
     rest = F.floor(F.col("target")) - F.col("epochs") * whole
     part = F.greatest(F.lit(0), F.least(size, rest - F.col("start") - F.col("before"))).cast("long")
     rows = rows.withColumn("epochs", epochs).withColumn("part", part)
-    return rows.select("doc_id", "name", "size", "source_size", "target", (F.col("epochs") * size + F.col("part")).alias("taken"), "epochs", "part")
+    return rows.select("doc_id", "t", "name", "size", "source_size", "target", (F.col("epochs") * size + F.col("part")).alias("taken"), "epochs", "part")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -93,23 +94,28 @@ def first_words(text: Column, n: Column) -> Column:
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed corpus in the columns of docs: a row for each whole copy taken, and one cut text a source at most.
 
-    Rows that repeat a whole (id, source, size) triple take what their plan rows take together, dealt by position.
+    Rows that repeat a whole (id, source, text) triple take what their plan rows take together, in the order of their
+    columns, so a rerun gives the same rows.
     """
-    key = lambda i, name, size: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), size.cast("string"), name)
     taken = plan(spark, docs, id_col, text, source, **options)
-    left = docs.withColumn("__mix_size", word_count(F.col(text)))
-    left = left.withColumn("__mix_key", key(F.col(id_col), _name(F.col(source)), F.col("__mix_size")))
-    left = left.withColumn("__mix_n", F.row_number().over(W.partitionBy("__mix_key").orderBy(F.lit(0))))
-    # one join on the window's own key, so that each text moves once; rows that share a key share a short list
-    right = taken.where("taken > 0").withColumn("__mix_key", key(F.col("doc_id"), F.col("name"), F.col("size")))
-    right = right.groupBy("__mix_key").agg(F.sort_array(F.collect_list(F.struct("taken", "epochs", "part")), asc=False).alias("__mix_all"))
-    rows = left.join(right, "__mix_key").withColumn("__mix_own", F.get(F.col("__mix_all"), F.col("__mix_n") - 1))
-    rows = rows.withColumn("__mix_epochs", F.coalesce("__mix_own.epochs", F.lit(0))).withColumn("__mix_part", F.coalesce("__mix_own.part", F.lit(0)))
+    # one join on the window's own key, so that each text moves once; only rows that repeat id, source and text share a list
+    key = [F.coalesce(F.col("i").cast("string"), F.lit("")).alias("__i"), F.col("i").isNull().alias("__null"), F.col("name").alias("__name"), F.col("t").alias("__t")]
+    right = taken.where("taken > 0").withColumnRenamed("doc_id", "i").select(*key, "taken", "epochs", "part")
+    on = ["__i", "__null", "__name", "__t"]
+    right = right.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("taken", "epochs", "part")), asc=False).alias("__all"))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
+    rows = rows.withColumn("__size", word_count(F.col(own[text]))).withColumn("i", F.col(own[id_col])).withColumn("t", F.xxhash64(own[text])).withColumn("name", _name(F.col(own[source])))
+    rows = rows.select(*own.values(), "__size", *key)
+    told = F.xxhash64(*[F.to_json(F.struct(k)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(k) for c, k in own.items()])
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy(*on).orderBy(told)))
+    rows = rows.join(right, on).withColumn("__own", F.get(F.col("__all"), F.col("__n") - 1))
+    rows = rows.withColumn("__epochs", F.coalesce("__own.epochs", F.lit(0))).withColumn("__part", F.coalesce("__own.part", F.lit(0)))
     none = F.array().cast("array<bigint>")
-    whole = F.transform(F.array_repeat(F.lit(0), F.col("__mix_epochs").cast("int")), lambda _: F.col("__mix_size"))
-    rows = rows.withColumn("__mix_cut", F.explode(F.concat(whole, F.when(F.col("__mix_part") > 0, F.array("__mix_part")).otherwise(none))))
-    shown = F.when(F.col("__mix_cut") >= F.col("__mix_size"), F.col(text)).otherwise(first_words(F.col(text), F.col("__mix_cut")))
-    return rows.select(*[(shown.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    whole = F.transform(F.array_repeat(F.lit(0), F.col("__epochs").cast("int")), lambda _: F.col("__size"))
+    rows = rows.withColumn("__cut", F.explode(F.concat(whole, F.when(F.col("__part") > 0, F.array("__part")).otherwise(none))))
+    shown = F.when(F.col("__cut") >= F.col("__size"), F.col(own[text])).otherwise(first_words(F.col(own[text]), F.col("__cut")))
+    return rows.select(*[(shown if c == text else F.col(k)).alias(c) for c, k in own.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
