@@ -328,6 +328,7 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
     named = scratch.save(nodes.join(known, nodes["rep"] == known["node"], "left").select("f1", "f2", "rep_id", "rep_t", F.coalesce("component", "rep").alias("c")), "named")
     least = named.groupBy("c").agg(F.min(F.struct("rep_id", "rep_t")).alias("least"))
     named = scratch.save(named.join(least, "c").select("f1", "f2", "least"), "least")
+    scratch.drop("classes", "owners", "nodes", "shared", "banded", "texts", "sketches", "links-0-near", "links-0", "components-0", "open", "close", "clustered", "active", "sizes", "links-1", "components-1", "named")
     out = signed.join(named, ["f1", "f2"], "left")
     taking_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(taking_part, F.col("least.rep_id")).otherwise(F.col("doc_id"))

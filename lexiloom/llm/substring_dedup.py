@@ -9,7 +9,9 @@ are found by a partial aggregate (a digest on a third of all lines leaves each t
 back, in a plain join of two exchanges that adaptive execution splits where a digest is hot. Texts move once, by id.
 
 Defined cases: null and empty texts have no units and stay; null ids rank first; rows that repeat an id and text are one
-document, so they lose the same spans; shorter lines are never removed; other columns are untouched.
+document, so they lose the same spans; shorter lines are never removed; a very long text is hashed whole, in one task; an empty
+table gives an empty table; other columns are untouched, whatever their names, and one named as `details` is replaced. Passages inside
+a line are not seen: `passage_dedup` finds those.
 """
 
 from __future__ import annotations
@@ -110,7 +112,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: st
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__i"), F.xxhash64(F.col(text)).alias("__t"),
     ).join(gone, ["__i", "__t"], "left").drop("__i", "__t")
     rows = rows.mapInArrow(_cut, rows.schema)
-    names = [F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    names = [F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != details]
     return rows.select(*names, *([F.col("__spans").alias(details)] if details else []))
 
 
