@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from lexiloom.functions import vectors as V
 
 
+#: Vectors of a word that meet those of another block in one task.
+BLOCK = 1024
+
+
 def unit_rows(rows: DataFrame, word: str, idx: str, vector: str) -> DataFrame:
     """(word, idx, u): unit vectors; a zero vector has NaN components, as a contour's cosine does."""
     v = V.doubles(F.col(vector))
@@ -17,9 +21,19 @@ def unit_rows(rows: DataFrame, word: str, idx: str, vector: str) -> DataFrame:
 
 
 def pairs(units: DataFrame) -> DataFrame:
-    """(word, i, j, sim) for i < j of the same word: an equi-join on word, each pair once."""
-    a, b = units.withColumnsRenamed({"idx": "i", "u": "x"}), units.withColumnsRenamed({"idx": "j", "u": "y"})
-    return a.join(b, "word").where("i < j").select("word", "i", "j", V.dot(F.col("x"), F.col("y")).alias("sim"))
+    """(word, i, j, sim) for i < j of the same word, each pair once.
+
+    A word's vectors are dealt to blocks of about BLOCK, and two blocks meet in a cell of their own, so a word with many
+    vectors is no hot key; a word of one block is joined as it is.
+    """
+    blocks = units.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = units.join(blocks, "word").withColumn("mine", F.pmod(F.xxhash64("idx"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("word", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "idx", "u")
+    a = rows.withColumnsRenamed({"idx": "i", "u": "x", "mine": "m"})
+    b = rows.withColumnsRenamed({"idx": "j", "u": "y", "mine": "n"})
+    met = a.join(b, ["word", "p", "q"]).where((F.col("i") < F.col("j")) & ((F.col("p") == F.col("q")) | (F.col("m") != F.col("n"))))
+    return met.select("word", "i", "j", V.dot(F.col("x"), F.col("y")).alias("sim"))
 
 
 def matrix(units: DataFrame) -> DataFrame:
@@ -34,26 +48,20 @@ def stats(p: DataFrame) -> DataFrame:
     return agg.withColumn("range", F.col("max") - F.col("min"))
 
 
-def moments(units: DataFrame, width: int) -> DataFrame:
+def moments(units: DataFrame) -> DataFrame:
     """Mean and deviation of pairwise similarity without any pair.
 
     The sum over pairs is (|S|^2 - n) / 2 for the sum S of unit vectors, and that of squares (|G|^2 - n) / 2 for the
-    Frobenius norm of the sum G of their outer products: one partial aggregate of width + width^2 / 2 numbers a word.
+    Frobenius norm of the sum G of their outer products: tasks add up both, and one row a word and task is shuffled.
     """
-    cells = [(i, j) for i in range(width) for j in range(i, width)]
-    u = lambda i: F.get(F.col("u"), i)
-    sums = units.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(u(i)) for i in range(width)]).alias("s"))
-    outer = units.select("word", F.posexplode(F.array(*[u(i) * u(j) * (1.0 if i == j else 2**0.5) for i, j in cells])).alias("cell", "x")) if width <= 16 else _outer(units)
-    squares = outer.groupBy("word", "cell").agg(F.sum("x").alias("g")).groupBy("word").agg(F.sum(F.col("g") * F.col("g")).alias("q"))
-    both = sums.join(squares, "word").withColumn("m", F.col("n") * (F.col("n") - 1) / 2).where("m > 0")
-    first, second = (V.dot(F.col("s"), F.col("s")) - F.col("n")) / 2 / F.col("m"), (F.col("q") - F.col("n")) / 2 / F.col("m")
-    return both.select("word", "n", first.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), second - first * first)).alias("std"))
-
+    from lexiloom.plans.linalg import grams_by_word
 
-def _outer(units: DataFrame) -> DataFrame:
-    rows = units.select("word", "u", F.posexplode("u").alias("i", "x"))
-    rows = rows.select("word", "i", "x", F.posexplode("u").alias("j", "y")).where("i <= j")
-    return rows.select("word", F.struct("i", "j").alias("cell"), (F.col("x") * F.col("y") * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2**0.5)).alias("x"))
+    rows = grams_by_word(units.select("word", F.col("u").alias("vector")))
+    n, d = F.get("x", F.lit(0)), F.round((F.sqrt(4 * F.size("x") - 3) - 1) / 2).cast("int")
+    s, g = F.slice("x", F.lit(2), d), F.slice("x", d + 2, d * d)
+    both = rows.select("word", n.cast("long").alias("n"), (n * (n - 1) / 2).alias("m"), V.dot(s, s).alias("first"), V.dot(g, g).alias("second")).where("m > 0")
+    first, second = (F.col("first") - F.col("n")) / 2 / F.col("m"), (F.col("second") - F.col("n")) / 2 / F.col("m")
+    return both.select("word", "n", first.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), second - first * first)).alias("std"))
 
 
 def average_per_vector(units: DataFrame, width: int) -> DataFrame:
@@ -108,8 +116,9 @@ def contour(rows: DataFrame, word: str, doc: str, start: str, vector: str, key:
 
 # statistics by layer
 
-def layer_stats(p: DataFrame) -> DataFrame:
-    return p.groupBy(F.col("word").alias("layer")).agg(F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("std"))
+def layer_stats(units: DataFrame) -> DataFrame:
+    """(layer, mean, std) of pairwise similarity, a layer being the word of unit rows; linear in vectors."""
+    return moments(units).select(F.col("word").alias("layer"), "mean", "std")
 
 
 def layer_bands(layers: DataFrame) -> DataFrame:

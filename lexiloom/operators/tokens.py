@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,36 @@ def tokenize(units: DataFrame, text: str = "text") -> DataFrame:
     return units.withColumn("tokens", T.matches(F.col(text), r"(?U)\w+|[^\w\s]"))
 
 
+@lru_cache(4)
+def _loaded(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True  # their names in a text are ordinary text
+    return t
+
+
+def tokenize_with(units: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """units with tokens of a tokenizer file, with their offsets in the text; read once a Python worker.
+
+    The file is a parameter and must lie where all workers read it.
+    """
+    ship(units.sparkSession)
+    inner = units.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(units.columns)])
+    at = units.columns.index(text)
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(units.schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = _loaded(path).encode_batch([x or "" for x in texts], add_special_tokens=False)
+            tokens = [None if x is None else [{"start": a, "end": b, "text": t} for (a, b), t in zip(e.offsets, e.tokens, strict=True)] for x, e in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, kind)], names=[*batch.schema.names, "__tokens"])
+
+    return inner.mapInArrow(run, f"{kinds}, __tokens array<struct<start:int,end:int,text:string>>").toDF(*units.columns, "tokens")
+
+
 def align(tokens: Column, start: Column, end: Column) -> Column:
     """Indices of the tokens that overlap [start, end); empty tokens are special and never do."""
     hit = F.transform(tokens, lambda t, i: F.when((t["end"] > t["start"]) & (t["start"] < end) & (start < t["end"]), i))

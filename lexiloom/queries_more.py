@@ -14,6 +14,7 @@ from lexiloom.operators import sampling as P
 from lexiloom.operators import similarity as S
 from lexiloom.operators import tokens as K
 from lexiloom.operators import units as U
+from lexiloom.plans import concordance, study
 from lexiloom.plans import linalg as L
 from lexiloom.plans import lsa as A
 from lexiloom.queries_text import _SEG, WORD, _md5, _thin, docs, seg
@@ -156,6 +157,15 @@ def _horn(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(i, float(a), float(b), r["retain"]) for i, (a, b) in enumerate(zip(r["real"], r["random"], strict=True))], "k int, real double, random double, retain int")
 
 
+#: The file is a parameter of tokenize_with; this one lower-cases and leaves white space out.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def _study(s: SparkSession, d: str) -> DataFrame:
+    c = study.Config(concordance.Config(WORD, document_strategy=None, n_occurrences=None, occurrence_strategy="exhaustive", per_document=3, window="sentence"))
+    return study.run(docs(s, d), c)["analysis"]
+
+
 _MODELS = ("bert-base-uncased", "distilbert-base-uncased", "roberta-x", "albert-y", "gpt2", "GPT-2 medium", "my-gpt-2", "other")
 _R2 = r"[^\p{L}\p{N}_\s]"
 
@@ -231,7 +241,7 @@ SELECT title, md5(substr(body, 1, 1500)) AS body, hits FROM h WHERE hits >= 2 OR
         _E + f", f AS (SELECT vec_id, v, unnest(range({WIDTH}))::INTEGER AS dim, unnest(v) AS x FROM e) SELECT vec_id, dim, round(x * 4, 8) AS x, round(sin(2 * pi() * (0.5::DOUBLE / 3) * dim / {WIDTH - 1}), 8) AS y FROM f",
     ),
     "layer_trend": (
-        lambda s, d: _rounded(Y.band_trend(S.layer_stats(S.pairs(units(s, d)))), "early", "middle", "late", "early_middle", "middle_late", "overall"),
+        lambda s, d: _rounded(Y.band_trend(S.layer_stats(units(s, d))), "early", "middle", "late", "early_middle", "middle_late", "overall"),
         _L + ", b AS (SELECT avg(mean) FILTER (layer < 4) AS e, avg(mean) FILTER (layer >= 4 AND layer < 8) AS m, avg(mean) FILTER (layer >= 8) AS l FROM l) SELECT round(e, 8) AS early, round(m, 8) AS middle, round(l, 8) AS late, round(m - e, 8) AS early_middle, round(l - m, 8) AS middle_late, round(l - e, 8) AS overall FROM b",
     ),
     "model_agreement": (
@@ -251,7 +261,7 @@ SELECT word, bin, round(min(lo + bin * (hi - lo) / 20), 6) AS lower, count(*) AS
         _P + " SELECT word, round(min(sim), 8) AS least, round(quantile_cont(sim, 0.25), 8) AS q1, round(median(sim), 8) AS median, round(quantile_cont(sim, 0.75), 8) AS q3, round(max(sim), 8) AS largest FROM p GROUP BY word",
     ),
     "conclusions": (
-        lambda s, d: S.stats(S.pairs(units(s, d))).select("word", Y.conclusion(F.col("std"), F.col("mean")).alias("conclusion"), Y.conclusion(F.col("std") / 2, F.col("mean")).alias("half"), Y.conclusion(F.lit(0.2), F.col("mean") + 0.61).alias("shifted")),
+        lambda s, d: S.moments(units(s, d)).select("word", Y.conclusion(F.col("std"), F.col("mean")).alias("conclusion"), Y.conclusion(F.col("std") / 2, F.col("mean")).alias("half"), Y.conclusion(F.lit(0.2), F.col("mean") + 0.61).alias("shifted")),
         _P + """, a AS (SELECT word, avg(sim) AS m, stddev_pop(sim) AS s FROM p GROUP BY word)
 SELECT word, CASE WHEN s > 0.15 AND m <= 0.6 THEN 'polysemous' WHEN s > 0.15 THEN 'flexible' WHEN s > 0.08 THEN 'controlled' ELSE 'stable' END AS conclusion,
  CASE WHEN s / 2 > 0.15 AND m <= 0.6 THEN 'polysemous' WHEN s / 2 > 0.15 THEN 'flexible' WHEN s / 2 > 0.08 THEN 'controlled' ELSE 'stable' END AS half,
@@ -305,6 +315,11 @@ SELECT round((aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * b
     "word_subspace": (_word_space, None),
     "pair_concept_study": (_concept_study, None),
     "parallel_analysis": (_horn, None),
+    "word_study": (_study, None),
+    "tokens_of_a_file": (
+        lambda s, d: K.tokenize_with(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), TOKENIZER).select("doc_id", F.array_join(F.transform(F.array_distinct(F.transform("tokens", lambda t: F.struct(t["start"].alias("a"), t["end"].alias("b")))), lambda t: F.substring("text", t["a"] + 1, t["b"] - t["a"])), "").alias("t")).select("doc_id", F.md5(F.lower("t").cast("binary")).alias("text")),
+        r"SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS text FROM documents WHERE text IS NOT NULL",
+    ),
 }
 
 

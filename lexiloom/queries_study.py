@@ -28,12 +28,12 @@ def _complex_norms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _layers(spark: SparkSession, sf: str) -> DataFrame:
-    return S.layer_stats(S.pairs(units(spark, sf)))
+    return S.layer_stats(units(spark, sf))
 
 
 def _differences(spark: SparkSession, sf: str) -> DataFrame:
     e = emb(spark, sf)
-    half = lambda a: S.layer_stats(S.pairs(S.unit_rows(e.select("vec_id", "label", F.slice("v", a, 32).alias("v")), "label", "vec_id", "v")))
+    half = lambda a: S.layer_stats(S.unit_rows(e.select("vec_id", "label", F.slice("v", a, 32).alias("v")), "label", "vec_id", "v"))
     return _rounded(study.layer_differences(half(1), half(33)), "mean", "max", "min")
 
 

@@ -101,8 +101,8 @@ def _static(spark: SparkSession, sf: str) -> DataFrame:
 
 def _corr(spark: SparkSession, sf: str) -> DataFrame:
     e = emb(spark, sf)
-    x, y = e.select("label", F.col("vec_id").alias("i"), F.col("v").alias("a")), e.select("label", F.col("vec_id").alias("j"), F.col("v").alias("b"))
-    return x.join(y, "label").where("i < j").select("i", "j", _one(V.pearson(F.col("a"), F.col("b")), "r"))
+    centred = V.let(V.mean(F.col("v")), lambda m: F.transform("v", lambda x: x - m))  # the correlation is the cosine of centred rows
+    return S.pairs(S.unit_rows(e.select("label", "vec_id", centred.alias("v")), "label", "vec_id", "v")).select("i", "j", _one(F.col("sim"), "r"))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -122,7 +122,7 @@ _SPEC: dict[str, tuple] = {
         lambda s, d: _rounded(S.stats(S.pairs(units(s, d))), "mean", "std", "min", "max", "median", "variance", "range"),
         _P + " SELECT word, count(*) AS n_pairs, round(avg(sim), 8) AS mean, round(stddev_pop(sim), 8) AS std, round(min(sim), 8) AS min, round(max(sim), 8) AS max, round(median(sim), 8) AS median, round(var_pop(sim), 8) AS variance, round(max(sim) - min(sim), 8) AS range FROM p GROUP BY word",
     ),
-    "contour_moments": (lambda s, d: _rounded(S.moments(units(s, d), WIDTH), "mean", "std"), _P + " SELECT word, (SELECT count(*) FROM u WHERE u.word = p.word) AS n, round(avg(sim), 8) AS mean, round(stddev_pop(sim), 8) AS std FROM p GROUP BY word"),
+    "contour_moments": (lambda s, d: _rounded(S.moments(units(s, d)), "mean", "std"), _P + " SELECT word, (SELECT count(*) FROM u WHERE u.word = p.word) AS n, round(avg(sim), 8) AS mean, round(stddev_pop(sim), 8) AS std FROM p GROUP BY word"),
     "static_similarity": (_static, _U + ", s AS (SELECT word, arg_min(u, idx) AS s FROM u GROUP BY word) SELECT word, round(avg(list_inner_product(u, s)), 8) AS mean, round(stddev_pop(list_inner_product(u, s)), 8) AS std, count(*) AS n FROM u JOIN s USING (word) GROUP BY word"),
     **{
         f"most_{name}": (
@@ -132,14 +132,14 @@ _SPEC: dict[str, tuple] = {
         for name, typical in (("unique", False), ("typical", True))
     },
     "variance_label": (
-        lambda s, d: S.stats(S.pairs(units(s, d))).select("word", S.variance_label(F.col("variance")).alias("variance"), S.coherence_label(F.col("mean")).alias("coherence"), S.variation_label(F.col("std")).alias("variation")),
+        lambda s, d: S.moments(units(s, d)).withColumn("variance", F.col("std") * F.col("std")).select("word", S.variance_label(F.col("variance")).alias("variance"), S.coherence_label(F.col("mean")).alias("coherence"), S.variation_label(F.col("std")).alias("variation")),
         _P + " SELECT word, CASE WHEN var_pop(sim) < 0.005 THEN 'low' WHEN var_pop(sim) < 0.01 THEN 'moderate' ELSE 'high' END AS variance, CASE WHEN avg(sim) > 0.75 THEN 'high' WHEN avg(sim) > 0.6 THEN 'moderate' ELSE 'low' END AS coherence, CASE WHEN stddev_pop(sim) > 0.15 THEN 'high' WHEN stddev_pop(sim) > 0.08 THEN 'moderate' ELSE 'low' END AS variation FROM p GROUP BY word",
     ),
-    "layer_stats": (lambda s, d: _rounded(S.layer_stats(S.pairs(units(s, d))), "mean", "std"), _L + " SELECT layer, round(mean, 8) AS mean, round(std, 8) AS std FROM l"),
-    "layer_bands": (lambda s, d: _rounded(S.layer_bands(S.layer_stats(S.pairs(units(s, d)))), "mean"), _L + " SELECT CASE WHEN layer < 4 THEN 'early' WHEN layer < 8 THEN 'middle' ELSE 'late' END AS band, round(avg(mean), 8) AS mean FROM l GROUP BY band"),
-    "layer_extremes": (lambda s, d: S.layer_extremes(S.layer_stats(S.pairs(units(s, d)))), _L + " SELECT (SELECT layer FROM l ORDER BY mean DESC, layer LIMIT 1) AS argmax, (SELECT layer FROM l ORDER BY mean, layer LIMIT 1) AS argmin"),
-    "cv_iqr_slope": (lambda s, d: _rounded(S.spread(S.layer_stats(S.pairs(units(s, d)))), "cv", "range", "iqr", "slope"), _L + " SELECT round(stddev_pop(mean) / avg(mean), 8) AS cv, round(max(mean) - min(mean), 8) AS range, round(quantile_cont(mean, 0.75) - quantile_cont(mean, 0.25), 8) AS iqr, round(regr_slope(mean, layer), 8) AS slope FROM l"),
-    "min_max_scaled": (lambda s, d: _rounded(S.min_max(S.layer_stats(S.pairs(units(s, d)))), "scaled"), _L + " SELECT layer, round((mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()), 8) AS scaled FROM l"),
+    "layer_stats": (lambda s, d: _rounded(S.layer_stats(units(s, d)), "mean", "std"), _L + " SELECT layer, round(mean, 8) AS mean, round(std, 8) AS std FROM l"),
+    "layer_bands": (lambda s, d: _rounded(S.layer_bands(S.layer_stats(units(s, d))), "mean"), _L + " SELECT CASE WHEN layer < 4 THEN 'early' WHEN layer < 8 THEN 'middle' ELSE 'late' END AS band, round(avg(mean), 8) AS mean FROM l GROUP BY band"),
+    "layer_extremes": (lambda s, d: S.layer_extremes(S.layer_stats(units(s, d))), _L + " SELECT (SELECT layer FROM l ORDER BY mean DESC, layer LIMIT 1) AS argmax, (SELECT layer FROM l ORDER BY mean, layer LIMIT 1) AS argmin"),
+    "cv_iqr_slope": (lambda s, d: _rounded(S.spread(S.layer_stats(units(s, d))), "cv", "range", "iqr", "slope"), _L + " SELECT round(stddev_pop(mean) / avg(mean), 8) AS cv, round(max(mean) - min(mean), 8) AS range, round(quantile_cont(mean, 0.75) - quantile_cont(mean, 0.25), 8) AS iqr, round(regr_slope(mean, layer), 8) AS slope FROM l"),
+    "min_max_scaled": (lambda s, d: _rounded(S.min_max(S.layer_stats(units(s, d))), "scaled"), _L + " SELECT layer, round((mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()), 8) AS scaled FROM l"),
     "corr_matrix": (_corr, _E + f" SELECT x.vec_id AS i, y.vec_id AS j, round(list_cosine_similarity(list_transform(x.v, lambda z: z - {_MEAN('x.v')}), list_transform(y.v, lambda z: z - {_MEAN('y.v')})), 8) AS r FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id"),
     "nearest_terms": (
         lambda s, d: _rounded(S.nearest(t := units(s, d).select(F.col("idx").alias("term"), "u"), t.where("term % 100 = 0"), 5), "sim"),

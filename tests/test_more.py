@@ -349,3 +349,55 @@ def test_answers():
     for bad in ("../x", "a/../../x", "..", "../corpora2"):
         with pytest.raises(ValueError):
             T.entry_path(bad)
+
+
+def test_study(spark):
+    from lexiloom.operators import similarity as S
+    from lexiloom.operators import units as U
+    from lexiloom.plans import study
+
+    d = U.corpus(spark.read.parquet(f"{SF}/documents.parquet"))
+    c = study.Config(C.Config("the", n_documents=30, n_occurrences=40, per_document=4, window="words", size=8))
+    out = study.run(d, c)
+    units = out["units"].collect()
+    (a,) = out["analysis"].collect()
+    assert len(units) == 40 == a.n and {r.aggregation for r in units} == {"mean_pooling"}
+    x = np.array([r.vector for r in units])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = (x @ x.T)[np.triu_indices(40, 1)]
+    assert np.isclose(a["mean"], sims.mean()) and np.isclose(a["std"], sims.std())
+    for r in units:
+        assert r.prepared[r.p_start : r.p_end].lower() == "the"
+    assert len(study.MODELS) == 9 and out["contour"].count() == 40
+    rows = out["units"].select(F.lit("w").alias("w"), F.concat_ws("|", "doc_id", "start").alias("i"), "vector")
+    assert S.pairs(S.unit_rows(rows, "w", "i", "vector")).count() == 780
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    from lexiloom.operators import similarity as S
+
+    rng = np.random.default_rng(1)
+    rows = [("a", i, rng.standard_normal(3).tolist()) for i in range(50)] + [("b", i, rng.standard_normal(3).tolist()) for i in range(3)] + [("c", 1, [1.0, 0.0, 0.0])]
+    u = S.unit_rows(spark.createDataFrame(rows, "w string, k int, v array<double>"), "w", "k", "v")
+    want = sorted((r.word, r.i, r.j, round(r.sim, 9)) for r in S.pairs(u).collect())
+    assert len(want) == 50 * 49 // 2 + 3
+    monkeypatch.setattr(S, "BLOCK", 7)
+    assert sorted((r.word, r.i, r.j, round(r.sim, 9)) for r in S.pairs(u).collect()) == want
+    m = {r.word: (r.n, r["mean"], r["std"]) for r in S.moments(u).collect()}
+    for w in "ab":
+        sims = [x[3] for x in want if x[0] == w]
+        assert np.isclose(m[w][1], np.mean(sims)) and np.isclose(m[w][2], np.std(sims))
+    assert set(m) == {"a", "b"}
+
+
+def test_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    texts = ["The quick é fox. 😀 <|endoftext|> China", "", None, "a  b"]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id int, text string, c0 int")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    for r in K.tokenize_with(d, path).collect():
+        e = t.encode(texts[r.id] or "", add_special_tokens=False)
+        assert (r.tokens is None) == (texts[r.id] is None) and [(x.start, x.end, x.text) for x in r.tokens or []] == [(*o, x) for o, x in zip(e.offsets, e.tokens, strict=True)]
