@@ -151,6 +151,13 @@ def kwic_line(left: Column, text: Column, right: Column, most: int = 100) -> Col
     return F.substring(F.translate(F.concat(left, F.lit("["), text, F.lit("]"), right), "\n", " "), 1, most)
 
 
+def kwic_row(doc_id: Column, left: Column, text: Column, right: Column, width: int = 40) -> Column:
+    """A line of a printed concordance: the id's first 12 characters, the left side set to the right, the right side cut."""
+    one = lambda x: F.translate(x, "\n", " ")
+    side = F.lpad(F.when(F.length(left) > width, F.substring(left, -width, width)).otherwise(left), width, " ")
+    return F.concat(F.rpad(F.substring(doc_id.cast("string"), 1, 12), 12, " "), F.lit(" | "), one(side), F.lit(" ["), one(text), F.lit("] "), one(F.substring(right, 1, width)))
+
+
 def model_type(name: Column) -> Column:
     n = F.lower(name)
     return F.when(n.rlike("^(distilbert|bert-|roberta-|albert-)"), "bert").when(n.rlike("gpt-?2|^gpt"), "gpt2").otherwise("bert")

@@ -21,9 +21,16 @@ def random(units: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame
 reservoir = random  # of a finite table; streaming.reservoir takes an unbounded one
 
 
-def cap_per_group(units: DataFrame, most: int, group: str, key: list[str], seed: int = 0) -> DataFrame:
+def _keyed(units: DataFrame, group: str | Column) -> tuple[DataFrame, str]:
+    """Units with a group that may be any expression as a column."""
+    return (units, group) if isinstance(group, str) else (units.withColumn("__group", group), "__group")
+
+
+def cap_per_group(units: DataFrame, most: int, group: str | Column, key: list[str], seed: int = 0) -> DataFrame:
+    """At most `most` rows a group; no task sends more than that of a group."""
+    units, group = _keyed(units, group)
     w = W.partitionBy(group).orderBy(order(seed, *key), *key)
-    return units.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+    return units.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n", "__group")
 
 
 def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -33,12 +40,13 @@ def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Data
     return a.join(b, test, how).drop(*[f"__{i}" for i in range(len(on))])
 
 
-def stratified(units: DataFrame, n: int, group: str, key: list[str], seed: int = 0) -> DataFrame:
+def stratified(units: DataFrame, n: int, group: str | Column, key: list[str], seed: int = 0) -> DataFrame:
     """floor(n * share) rows of each group (null is one), and the rest at random from all rows not chosen; key tells rows apart.
 
     No group is ranked whole: each task sends the first n of a group at most, as a quota is never above n. The rest come
     from the first 2n rows of another order, since at most n of those are chosen already.
     """
+    units, group = _keyed(units, group)
     sizes = units.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     total = sizes.agg(F.sum("__size").alias("__total"))
     quota = sizes.crossJoin(F.broadcast(total)).select(group, F.when(F.col("__total") <= n, F.col("__size")).otherwise(F.floor(F.lit(n) * F.col("__size") / F.col("__total"))).alias("__quota"))
@@ -46,11 +54,12 @@ def stratified(units: DataFrame, n: int, group: str, key: list[str], seed: int =
     chosen = _same(ranked, quota, [group]).where(F.col("__n") <= F.col("__quota")).drop("__n", "__quota")
     rest = _same(units.orderBy(order(seed + 1, *key), *key).limit(2 * n), chosen.select(*key), key, "left_anti").withColumn("__first", F.lit(1))
     both = chosen.withColumn("__first", F.lit(0)).unionByName(rest)
-    return both.orderBy("__first", order(seed + 1, *key), *key).limit(n).drop("__first")
+    return both.orderBy("__first", order(seed + 1, *key), *key).limit(n).drop("__first", "__group")
 
 
-def cap_per_group_spaced(units: DataFrame, most: int, group: str, key: list[str], start: str = "start", distance: int = 500, seed: int = 0) -> DataFrame:
+def cap_per_group_spaced(units: DataFrame, most: int, group: str | Column, key: list[str], start: str = "start", distance: int = 500, seed: int = 0) -> DataFrame:
     """At most `most` rows a group, spaced by start: greedy over a fresh order at each level distance, distance / 2, ..., 0."""
+    units, group = _keyed(units, group)
     levels, d = [], distance
     while d > 0:
         levels.append(d)
@@ -68,10 +77,10 @@ def cap_per_group_spaced(units: DataFrame, most: int, group: str, key: list[str]
     picked = F.when(F.size("__all") <= most, F.col("__all")).otherwise(F.aggregate(F.array(*map(F.lit, levels)), none, pick))
     on = list(dict.fromkeys([group, *key]))
     chosen = grouped.select(group, F.explode(picked).alias("u")).select(*[F.col(k if k == group else f"u.{k}").alias(k) for k in on])
-    return _same(units, chosen, on)
+    return _same(units, chosen, on).drop("__group")
 
 
-def summary(units: DataFrame, group: str) -> DataFrame:
+def summary(units: DataFrame, group: str | Column) -> DataFrame:
     return units.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,7 @@ from lexiloom.plans import linalg as L
 from lexiloom.plans import lsa as A
 from lexiloom.queries_vectors import WIDTH, emb
 from lexiloom.runtime import scratch_dir
-from lexiloom.streaming.reservoir import reservoir
+from lexiloom.streaming.reservoir import kept, reservoir
 
 
 def _sized(s: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     schema: StructType = s.read.parquet(f"{d}/events.parquet").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).select("event_id", "user_id", "event_type")
     reservoir(stream, 100, ["event_id"], f"{root}/out", f"{root}/log", 2).awaitTermination()
-    last = s.read.parquet(f"{root}/out")
-    return last.join(last.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    return kept(s, f"{root}/out")
 
 
 _SPEC: dict[str, tuple] = {

@@ -161,6 +161,16 @@ def _horn(s: SparkSession, d: str) -> DataFrame:
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def _lsa_documents(s: SparkSession, d: str) -> DataFrame:
+    """Documents in ten dimensions, and the vectors of some frequent words by name."""
+    weights = A.tfidf(s.read.parquet(f"{d}/documents.parquet"))
+    terms, documents, values = A.lsa(weights, 10, 10, 3)
+    words = s.createDataFrame([("The",), ("and",), ("DER",), ("no-such-word",)], "term string")
+    targets = lexicons.with_fallback(words, terms).select(F.col("term").alias("name"), F.lit("term").alias("kind"), "vector")
+    rows = targets.unionByName(documents.select(F.col("doc_id").cast("string").alias("name"), F.lit("document").alias("kind"), "vector"))
+    return rows.withColumn("sigma", F.array(*[F.lit(float(x)) for x in values]))
+
+
 def _study(s: SparkSession, d: str) -> DataFrame:
     c = study.Config(concordance.Config(WORD, document_strategy=None, n_occurrences=None, occurrence_strategy="exhaustive", per_document=3, window="sentence"))
     return study.run(docs(s, d), c)["analysis"]
@@ -289,6 +299,19 @@ SELECT word, CASE WHEN s > 0.15 AND m <= 0.6 THEN 'polysemous' WHEN s > 0.15 THE
         _SEG + """, k AS (SELECT doc_id, start, substr(body, greatest(start - 20, 0) + 1, start - greatest(start - 20, 0)) AS l, text AS t, substr(body, start + length(text) + 1, 20) AS r FROM occ)
 SELECT doc_id, md5(string_agg(trim(l || ' ' || t || ' ' || r, ' '), ' ' ORDER BY start)) AS text FROM k GROUP BY doc_id""",
     ),
+    "prepared_contexts": (
+        lambda s, d: study.prepared(U.concordance(docs(s, d), WORD, "exact", "chars", 30)).select("doc_id", "occ", F.md5(F.col("prepared").cast("binary")).alias("prepared"), "p_start", "p_end"),
+        _SEG + r""", k AS (SELECT doc_id, occ, greatest(start - 30, 0) AS a, start AS b, start + length(text) AS c, least(start + length(text) + 30, length(body)) AS z, body FROM occ),
+p AS (SELECT doc_id, occ, nfc_normalize(substr(body, a + 1, z - a)) AS w, nfc_normalize(substr(body, a + 1, b - a)) AS l, nfc_normalize(substr(body, a + 1, c - a)) AS m FROM k)
+SELECT doc_id, occ, md5(regexp_replace(w, '\s+', ' ', 'g')) AS prepared, length(regexp_replace(l, '\s+', ' ', 'g'))::INTEGER AS p_start, length(regexp_replace(m, '\s+', ' ', 'g'))::INTEGER AS p_end FROM p""",
+    ),
+    "tfidf_documents": (
+        lambda s, d: A.tfidf(s.read.parquet(f"{d}/documents.parquet")).withColumn("w", F.round("w", 8)),
+        r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term), x AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN i USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 8) AS w FROM x""",
+    ),
+    "lsa_documents": (_lsa_documents, None),
     "sample_exhaustive": (lambda s, d: P.apply(seg(s, d).select("doc_id", "occ", "start"), "exhaustive", None, ["doc_id", "start"]), _SEG + " SELECT doc_id, occ, start FROM occ"),
     "pooled_arrays": (
         lambda s, d: _flat(emb(s, d).select("vec_id", V.pool(F.array("v", F.transform("v", lambda x: -x * 2), F.transform("v", lambda x: x * 4)), "max", WIDTH).alias("vector")), "vec_id"),

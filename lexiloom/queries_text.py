@@ -160,7 +160,19 @@ SELECT doc_id, occ, start, {_END}, md5(substr(body, greatest(start - 30, 0) + 1,
     "nfc": (lambda s, d: docs(s, d).select("doc_id", F.md5(T.nfc(F.col("body")).cast("binary")).alias("text")), "SELECT doc_id, md5(nfc_normalize(text)) AS text FROM documents"),
     "strip_accents": (lambda s, d: docs(s, d).select("doc_id", F.md5(T.strip_accents(F.col("body")).cast("binary")).alias("text")), "SELECT doc_id, md5(strip_accents(text)) AS text FROM documents"),
     "casefold": (lambda s, d: docs(s, d).select("doc_id", F.md5(T.casefold(F.col("body")).cast("binary")).alias("text")), "SELECT doc_id, md5(replace(lower(text), 'ß', 'ss')) AS text FROM documents"),
-    "slugify": (lambda s, d: docs(s, d).select("doc_id", T.slugify(F.substring("body", 1, 40)).alias("slug")), r"SELECT doc_id, CASE WHEN s = '' THEN 'term' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 40))), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s-]+', '_', 'g') AS s FROM documents)"),
+    "slugs": (
+        lambda s, d: docs(s, d).select("doc_id", F.md5(T.slugify(F.col("body")).cast("binary")).alias("slug")),
+        r"SELECT doc_id, md5(CASE WHEN s = '' THEN 'term' ELSE s END) AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s-]+', '_', 'g') AS s FROM documents)",
+    ),
+    "kwic_rows": (
+        lambda s, d: _kwic(s, d, "chars", 60).select("doc_id", "occ", T.kwic_row(F.col("doc_id"), F.col("left"), F.col("text"), F.col("right"), 40).alias("line")),
+        _SEG + """ SELECT doc_id, occ, rpad(substr(doc_id::VARCHAR, 1, 12), 12, ' ') || ' | ' || lpad(replace(substr(body, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)), chr(10), ' '), 40, ' ') || ' [' || text || '] '
+ || replace(substr(body, start + length(text) + 1, 40), chr(10), ' ') AS line FROM occ""",
+    ),
+    "sample_by_expression": (
+        lambda s, d: P.cap_per_group(_thin(s, d), 2, F.floor(F.col("n") / 1000), ["doc_id"], 4).select("doc_id"),
+        f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY length(text) // 1000 ORDER BY {_md5(4, 'doc_id')}, doc_id) <= 2",
+    ),
     "offset_remap": (
         lambda s, d: seg(s, d).select("doc_id", "occ", T.collapse_offset(F.col("body"), F.col("start")).alias("start")),
         _SEG + rf" SELECT doc_id, occ, length(regexp_replace(substr(body, 1, start), '{_WS}+', ' ', 'g'))::INTEGER AS start FROM occ",

@@ -401,3 +401,32 @@ def test_tokenizer_file(spark):
     for r in K.tokenize_with(d, path).collect():
         e = t.encode(texts[r.id] or "", add_special_tokens=False)
         assert (r.tokens is None) == (texts[r.id] is None) and [(x.start, x.end, x.text) for x in r.tokens or []] == [(*o, x) for o, x in zip(e.offsets, e.tokens, strict=True)]
+
+
+def test_bounded_stream(spark, tmp_path):
+    from lexiloom.operators import sampling as P
+    from lexiloom.streaming.reservoir import kept, progress, reservoir
+
+    src = tmp_path / "in"
+    for k in range(4):
+        spark.range(k * 25, k * 25 + 25).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(src))
+    for bound, name in ((None, "a"), (60, "b")):
+        q = reservoir(stream, 10, ["id"], str(tmp_path / name), str(tmp_path / f"{name}-log"), 3, bound)
+        q.awaitTermination()
+        rows = sorted(r.id for r in kept(spark, str(tmp_path / name)).collect())
+        assert len(rows) == 10 and len(progress(q)) == 4
+        if bound is None:
+            assert sum(n for _, n in progress(q)) == 100 and rows == sorted(r.id for r in P.reservoir(spark.range(100), 10, ["id"], 3).collect())
+        else:
+            assert spark.read.parquet(str(tmp_path / "b-seen")).agg(F.max("n")).first()[0] == 60
+        assert len([p for p in (tmp_path / name).iterdir() if p.name.startswith("batch=")]) == 2
+
+
+def test_groups_by_expression(spark):
+    from lexiloom.operators import sampling as P
+
+    d = spark.createDataFrame([(i, i * 7 % 50) for i in range(40)], "id long, start int")
+    for out in (P.cap_per_group(d, 2, F.col("id") % 4, ["id"]), P.stratified(d, 8, F.col("id") % 4, ["id"]), P.cap_per_group_spaced(d, 2, F.col("id") % 4, ["id"], "start", 5)):
+        rows = out.collect()
+        assert out.columns == ["id", "start"] and len(rows) == 8 and sorted(r.id % 4 for r in rows) == [0, 0, 1, 1, 2, 2, 3, 3]
