@@ -14,7 +14,8 @@ without a shuffle, in runs of bounded bytes, in which all documents step through
 
 Defined cases: null text and text without a letter is `und` with score 0; without any training rows every text is `und`;
 an empty text is `und`; the prediction reads the text alone; null ids are held-in rows that never train; repeated rows
-are predicted alike; other columns are not read.
+are predicted alike; ties go to the label that comes first; a very long text is labelled whole, in one run; an empty table gives
+an empty table, and a model without labels; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ digits), and a unit's distinct bigrams (as 64-bit hashes) meet those of a templa
 
 Defined cases: null and empty texts and units of under two words have no bigrams and match nothing; a text of one line
 gives a row as a line and one as a text; ties go to the template later in name order; null ids are carried; repeated
-rows give repeated results; other columns are not read.
+rows give repeated results; a very long text is scanned whole, in one task; an empty table gives an empty table; other columns,
+whatever their names, are not read.
 
 ``scan_runs`` finds what is wrapped over lines or stands inside a longer text: for each template, the runs of adjacent lines
 with the best coefficient. Texts that do not hold two thirds of a template's bigrams, which any match needs, are set aside by

@@ -3,7 +3,8 @@
 ``measure`` derives length, symbol, stop-word, line and repetition figures of whole texts with built-in expressions;
 ``verdict`` compiles the rows of ``RULES`` over those figures. Null and empty texts measure 0 everywhere and fail the
 base rule; rows with a null id are kept as rows; input columns of any name are untouched, since figures travel in one
-struct column under a free name. Repeated rows are judged alike.
+struct column under a free name. Repeated rows are judged alike, an empty table gives an empty table, and a very long text is
+measured whole, in one task.
 
 Distinct words a word fall with the length of any text, so beyond ``BLOCK`` words that rule is held against the mean over
 blocks of ``BLOCK`` words (the rest at the end counts by its words); up to there it is the ratio over the whole text.
