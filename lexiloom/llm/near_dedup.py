@@ -14,7 +14,10 @@ bands that are by then in one component are done. In the others the sketches of
 which give only a spanning forest of the components whose members are close, so at most a row a member. The members with
 a close partner elsewhere then meet by the clusters of that forest, again in cells, with their full sets: what passes the
 estimate is counted exactly in place, and again only a spanning forest of confirmed links leaves a cell. So no link
-between candidates is lost, no pair list grows with the square of a group, and no task holds more than two cells.
+between candidates is lost, no pair list grows with the square of a group, and no task holds more than two blocks of a
+group, which have about CELL texts and CELL_BYTES of text at most (one text, if it is longer).
+Work that stays quadratic: members of one cluster that are close by estimate and yet linked with none of its components
+are all held against each other, n^2 / 2 tests and n / CELL copies of each text for n of them.
 A pair at J = 0.85 shares no band with probability (1 - 0.85^ROWS)^BANDS = 9e-7.
 
 Scale: texts are scanned once for signatures and moved once (only those in a shared band) for confirmation; hot pivots
@@ -46,6 +49,7 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, BITS = 36, 7, 512
 ESTIMATE = 0.62
 CELL, SALT = 256, 64
+CELL_BYTES = 32 << 20
 
 _SIGNATURE = "doc_id long, t long, n_shingles long, f1 long, f2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
 _RNG = np.random.Generator(np.random.PCG64(11))
@@ -260,9 +264,9 @@ def _linked_cells(rows: list[tuple]) -> list[tuple[int, int | None]]:
     return links
 
 
-def _celled(members: DataFrame, group: str, count: str, columns: list[str]) -> DataFrame:
-    """Members of each group dealt to cells of CELL x CELL: cell, side, and the columns."""
-    blocks = F.ceil(F.col(count) / CELL)
+def _celled(members: DataFrame, group: str, count: str, columns: list[str], size: str | None = None) -> DataFrame:
+    """Members of each group dealt to cells of CELL x CELL, or fewer where they are long: cell, side, and the columns."""
+    blocks = F.ceil(F.greatest(F.col(count) / CELL, F.col(size) / CELL_BYTES)) if size else F.ceil(F.col(count) / CELL)
     rows = members.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     cell = F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other"))
     return rows.select(cell.alias("cell"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *columns)
@@ -318,9 +322,11 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
         active = found.where("b is null").select(F.col("a").alias("rep"))
         active = active.join(known, active["rep"] == known["node"], "left").select("rep", F.coalesce("component", "rep").alias("component")).join(clusters, "component")
         active = scratch.save(active, "active")
-        sizes = scratch.save(active.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "sizes")
-        members = active.join(sizes, "cluster").join(sketches, "rep").join(some.select(F.col("doc_id").alias("rep"), "text"), "rep")
-        members = _celled(members, "cluster", "members", ["rep", "component", *sketch, "text"])
+        own = some.select(F.col("doc_id").alias("rep"), "text")
+        sizes = active.join(own.select("rep", F.octet_length("text").alias("bytes")), "rep").groupBy("cluster")
+        sizes = scratch.save(sizes.agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes")), "sizes")
+        members = active.join(sizes, "cluster").join(sketches, "rep").join(own, "rep")
+        members = _celled(members, "cluster", "members", ["rep", "component", *sketch, "text"], "bytes")
         more = scratch.save(members.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_cellwise(_linked_cells), "a long, b long"), "links-1")
         if not more.isEmpty():
             known = scratch.save(components(links.union(more), scratch, "stars-1"), "components-1")

@@ -54,3 +54,22 @@ def test_clashing_names_and_empty_tables(spark):
     none = d.limit(0)
     assert near_dedup.near_duplicates(spark, none).count() == 0 and near_dedup.dedup(spark, none).count() == 0
     assert near_dedup.near_duplicates(spark, d.where(F.col("text").isNull())).count() == 1
+
+
+def test_small_cells_lose_no_link(spark, monkeypatch):
+    import random
+
+    from test_llm import brute_components
+
+    rng = random.Random(6)
+    base, docs = [f"t{i}" for i in range(150)], {}
+    for k in range(60):  # close to each other, and linked in chains only
+        w = list(base)
+        for i in rng.sample(range(150), rng.choice((1, 2, 3))):
+            w[i] = f"x{k}_{i}"
+        docs[k] = " ".join(w)
+    monkeypatch.setattr(near_dedup, "CELL", 16)
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", 3000)
+    sets, want = brute_components(docs)
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert len(set(want.values())) > 1 and {r.doc_id: r.component_id for r in got} == want
