@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -134,3 +135,61 @@ def test_query_over_the_table(spark):
     assert len(got) == len(docs) and (got.n_chars == got.text.str.len()).all()
     same = got.merge(docs, on="doc_id")
     assert ((same.n_removed == 0) == (same.text_x == same.text_y)).all()
+
+
+def brute(docs):
+    """{id: kept words} from the definition: word tuples instead of digests, all units of all texts in one dictionary."""
+    units = collections.defaultdict(list)
+    for i, text in docs.items():
+        w = words(text)
+        if not w:
+            continue
+        ((_, _, data, offsets),) = passage_dedup.slices(pa.array([text]), 1 << 30)
+        starts, ends, first = passage_dedup.spans(data, offsets)
+        begin = passage_dedup.boundaries(passage_dedup.Hasher(data, lower=True)(starts, ends), first).tolist()
+        for a, b in zip(begin, [*begin[1:], len(w)], strict=True):
+            b = min(len(w), max(b, a + passage_dedup.LEAST))
+            units["p", tuple(w[a:b])].append((i, a, b))
+        at = 0
+        for line in text.split("\n"):
+            n = len(words(line))
+            if n >= passage_dedup.MIN_WORDS:
+                units["l", tuple(w[at : at + n])].append((i, at, at + n))
+            at += n
+    gone = collections.defaultdict(set)
+    runs = collections.defaultdict(list)
+    for (kind, _), places in units.items():
+        for i, a, b in sorted(places)[1:]:
+            if kind == "l":
+                gone[i].update(range(a, b))
+            else:
+                runs[i].append((a, b))
+    for i, spans in runs.items():
+        for k in {x for a, b in spans for x in range(a, b)}:
+            lo, hi = k, k + 1  # the run of touching spans that holds the word
+            grew = True
+            while grew:
+                grew = False
+                for a, b in spans:
+                    if a <= hi and b >= lo and (a < lo or b > hi):
+                        lo, hi, grew = min(lo, a), max(hi, b), True
+            if hi - lo >= passage_dedup.MIN_RUN:
+                gone[i].add(k)
+    return {i: [x for k, x in enumerate(words(t)) if k not in gone[i]] for i, t in docs.items()}
+
+
+def test_against_the_definition(spark):
+    rng = random.Random(11)
+    docs, _ = planted(rng, 60, [20, 24, 30, 40, 50, 60, 80, 120])
+    for i in range(60):
+        if rng.random() < 0.3:
+            docs[i] += "\nthis line stands in many of them\nshort line"
+        if rng.random() < 0.2:
+            docs[i] = docs[i] + "\n" + docs[i][: len(docs[i]) // 2]
+    docs |= {100: docs[0], 101: docs[1].upper(), 102: "a b\nc d e f\nc d e f", 103: "", 104: "x " * 300, 105: "x " * 200 + "y"}
+    got = {i: words(r.text) for i, r in run(spark, docs).items()}
+    want = brute(docs)
+    assert got == want and any(len(want[i]) < len(words(t)) for i, t in docs.items())
+    real = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    short = {i: t for i, t in real.items() if len(t) < 4000}
+    assert {i: words(r.text) for i, r in run(spark, short).items()} == brute(short)
