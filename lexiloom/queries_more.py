@@ -340,8 +340,10 @@ SELECT round((aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * b
     "parallel_analysis": (_horn, None),
     "word_study": (_study, None),
     "tokens_of_a_file": (
-        lambda s, d: K.tokenize_with(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), TOKENIZER).select("doc_id", F.array_join(F.transform(F.array_distinct(F.transform("tokens", lambda t: F.struct(t["start"].alias("a"), t["end"].alias("b")))), lambda t: F.substring("text", t["a"] + 1, t["b"] - t["a"])), "").alias("t")).select("doc_id", F.md5(F.lower("t").cast("binary")).alias("text")),
-        r"SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS text FROM documents WHERE text IS NOT NULL",
+        lambda s, d: K.tokenize_with(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), TOKENIZER)
+        .select("doc_id", F.array_distinct(F.transform("tokens", lambda t: F.struct(t["start"].alias("a"), t["end"].alias("b")))).alias("s"))
+        .select("doc_id", F.aggregate("s", F.lit(0), lambda x, t: x + t["b"] - t["a"]).alias("covered"), F.coalesce(F.array_max(F.transform("s", lambda t: t["b"])), F.lit(0)).alias("last")),
+        r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g'))::INTEGER AS covered, length(regexp_replace(text, '\s+$', ''))::INTEGER AS last FROM documents WHERE text IS NOT NULL",
     ),
 }
 
