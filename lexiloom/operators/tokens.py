@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -51,6 +52,7 @@ def tokenize(units: DataFrame, text: str = "text") -> DataFrame:
 
 @lru_cache(4)
 def _loaded(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core a task
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)

@@ -341,8 +341,8 @@ SELECT round((aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * b
     "word_study": (_study, None),
     "tokens_of_a_file": (
         lambda s, d: K.tokenize_with(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), TOKENIZER)
-        .select("doc_id", F.array_distinct(F.transform("tokens", lambda t: F.struct(t["start"].alias("a"), t["end"].alias("b")))).alias("s"))
-        .select("doc_id", F.aggregate("s", F.lit(0), lambda x, t: x + t["b"] - t["a"]).alias("covered"), F.coalesce(F.array_max(F.transform("s", lambda t: t["b"])), F.lit(0)).alias("last")),
+        .select("doc_id", F.transform("tokens", lambda t, i: F.when((i > 0) & (F.get("tokens", i - 1)["start"] == t["start"]) & (F.get("tokens", i - 1)["end"] == t["end"]), 0).otherwise(t["end"] - t["start"])).alias("n"), F.transform("tokens", lambda t: t["end"]).alias("b"))
+        .select("doc_id", F.aggregate("n", F.lit(0), lambda x, n: x + n).alias("covered"), F.coalesce(F.array_max("b"), F.lit(0)).alias("last")),
         r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g'))::INTEGER AS covered, length(regexp_replace(text, '\s+$', ''))::INTEGER AS last FROM documents WHERE text IS NOT NULL",
     ),
 }
