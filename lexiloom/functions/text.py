@@ -7,8 +7,10 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.runtime import ship
@@ -58,6 +60,40 @@ def matches(body: Column, regex: str) -> Column:
     return F.when(F.size(found) > 0, folded).otherwise(none)
 
 
+Spans = list[tuple[int, int, str]]
+
+
+def found(rule: re.Pattern) -> Callable[[list[str]], list[Spans]]:
+    """(start, end, text) of all matches of each text."""
+    return lambda texts: [[(*m.span(), m.group()) for m in rule.finditer(x)] for x in texts]
+
+
+def with_spans(rows: DataFrame, text: str, find: Callable[[list[str]], list[Spans]], into: str) -> DataFrame:
+    """rows and a column (array<struct<start, end, text>>; null text: null) of what `find` gives for a batch of texts.
+
+    One pass in Arrow batches, linear in a text; other columns of any name are kept.
+    """
+    ship(rows.sparkSession)
+    inner = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)])
+    at = rows.columns.index(text)
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                texts = part.column(at)
+                spans = find(texts.fill_null("").to_pylist())
+                flat = [s for some in spans for s in some]
+                start, end, words = (pa.array([s[k] for s in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string())))
+                ends = np.r_[0, np.cumsum([len(some) for some in spans])].astype(np.int32)
+                mask = np.append(np.asarray(texts.is_null()), False)
+                lists = pa.ListArray.from_arrays(pa.array(ends, mask=mask if mask.any() else None), pa.StructArray.from_arrays([start, end, words], ["start", "end", "text"]))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "__spans"])
+
+    return inner.mapInArrow(run, f"{kinds}, __spans array<struct<start:int,end:int,text:string>>").toDF(*rows.columns, into)
+
+
 def collapse_whitespace(x: Column) -> Column:
     """Each run of white space as one space; the ends stay."""
     return F.regexp_replace(x, WHITE + "+", " ")

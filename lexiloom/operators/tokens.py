@@ -5,16 +5,16 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text as T
 from lexiloom.functions import vectors as V
 from lexiloom.runtime import ship
 
@@ -22,32 +22,9 @@ from lexiloom.runtime import ship
 _WORDS = re.compile(r"\w+|[^\w\s]")
 
 
-def _with_tokens(units: DataFrame, text: str, find: Callable[[list[str]], list[list[tuple[int, int, str]]]]) -> DataFrame:
-    """units with tokens (array<struct<start, end, text>>; null text: null) that `find` gives for a batch of texts."""
-    ship(units.sparkSession)
-    inner = units.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(units.columns)])
-    at = units.columns.index(text)
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(units.schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = part.column(at)
-                found = find(texts.fill_null("").to_pylist())
-                flat = [t for some in found for t in some]
-                start, end, words = (pa.array([t[k] for t in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string())))
-                ends = np.r_[0, np.cumsum([len(some) for some in found])].astype(np.int32)
-                mask = np.append(np.asarray(texts.is_null()), False)
-                lists = pa.ListArray.from_arrays(pa.array(ends, mask=mask if mask.any() else None), pa.StructArray.from_arrays([start, end, words], ["start", "end", "text"]))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "__tokens"])
-
-    return inner.mapInArrow(run, f"{kinds}, __tokens array<struct<start:int,end:int,text:string>>").toDF(*units.columns, "tokens")
-
-
 def tokenize(units: DataFrame, text: str = "text") -> DataFrame:
     """units with tokens: runs of word characters and single marks. Linear in a text, however long."""
-    return _with_tokens(units, text, lambda texts: [[(*m.span(), m.group()) for m in _WORDS.finditer(x)] for x in texts])
+    return T.with_spans(units, text, T.found(_WORDS), "tokens")
 
 
 @lru_cache(4)
@@ -69,7 +46,7 @@ def tokenize_with(units: DataFrame, path: str, text: str = "text") -> DataFrame:
     def find(texts: list[str]) -> list[list[tuple[int, int, str]]]:
         return [[(a, b, t) for (a, b), t in zip(e.offsets, e.tokens, strict=True)] for e in _loaded(path).encode_batch(texts, add_special_tokens=False)]
 
-    return _with_tokens(units, text, find)
+    return T.with_spans(units, text, find, "tokens")
 
 
 def align(tokens: Column, start: Column, end: Column) -> Column:

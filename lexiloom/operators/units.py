@@ -34,9 +34,11 @@ def validate(docs: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, word: str, mode: str = "exact") -> DataFrame:
-    """Every match of a word: doc_id, occ (0-based), start, end, text, body, source. No shuffle."""
-    found = docs.where(F.col("body").rlike(T.pattern(word, mode))).select("doc_id", "source", "body", F.posexplode(T.matches(F.col("body"), T.pattern(word, mode))).alias("occ", "m"))
-    return found.select("doc_id", "occ", "m.start", "m.end", "m.text", "body", "source")
+    """Every match of a word: doc_id, occ (0-based), start, end, text, body, source. No shuffle; texts without it go unread."""
+    rule = re.compile(T.python_pattern(word, mode), re.IGNORECASE)
+    rows = T.with_spans(with_word(docs, word, mode).select("doc_id", "source", "body"), "body", T.found(rule), "found")
+    rows = rows.select("doc_id", "source", "body", F.posexplode("found").alias("occ", "m"))
+    return rows.select("doc_id", "occ", "m.start", "m.end", "m.text", "body", "source")
 
 
 def _stripped(body: str) -> Iterator[tuple[int, int, str]]:
