@@ -34,7 +34,7 @@ from lexiloom.llm.common import table
 from lexiloom.runtime import ship
 
 K, SCALE, EVERY = 5, 256, 50
-SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 16384, 4096, 32
+SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 16384, 16384, 32
 _OUT = "query_id long, vec_id long, score long"
 
 
