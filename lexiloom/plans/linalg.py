@@ -128,6 +128,39 @@ def horn(spark: SparkSession, data: np.ndarray, simulations: int = 100, seed: in
     return {"real": real, "random": random, "retain": int((real > random).sum())}
 
 
+def horn_rows(rows: DataFrame, vector: str, simulations: int = 100, seed: int = 0) -> dict:
+    """Parallel analysis of a table of any number of rows: neither it nor any random table of its size is ever in one place.
+
+    The ratios of z-scored columns are the eigenvalues of their correlations, which come from Gram sums. The covariance of
+    n rows of noise in d columns is a Wishart matrix of n - 1 degrees, drawn from its d x d triangular factor (of a table
+    with no more rows than columns, whose factor is not square, noise of its own small size is drawn).
+    """
+    spark = rows.sparkSession
+    n, _, _ = gram(rows, vector)
+    c = correlation(rows, vector)
+    d = len(c)
+    keep = max(0, min(n, d) - 1)
+    values = np.sort(np.maximum(np.linalg.eigvalsh(c), 0))[::-1] if d else np.zeros(0)
+
+    def one(rng: np.random.Generator) -> np.ndarray:
+        if n - 1 < d:
+            x = rng.standard_normal((n, d))
+            v = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+        else:
+            a = np.tril(rng.standard_normal((d, d)), -1)
+            a[np.diag_indices(d)] = np.sqrt(rng.chisquare(n - 1 - np.arange(d)))
+            v = np.linalg.svd(a, compute_uv=False) ** 2
+        return v[:keep] / v.sum()
+
+    def simulate(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, float(v)) for i in pdf["id"] for k, v in enumerate(one(np.random.default_rng(seed + int(i))))], columns=["k", "v"])
+
+    mean = spark.range(simulations).mapInPandas(simulate, "k int, v double").groupBy("k").agg(F.avg("v").alias("v")).orderBy("k").collect()
+    real, random = values[:keep] / values.sum() if keep else values[:0], np.array([r["v"] for r in mean])
+    return {"real": real, "random": random, "retain": int((real > random).sum())}
+
+
 def subspace_scores(rows: DataFrame, vector: str, k: int) -> DataFrame:
     """rows with `scores`: PCA scores of length 1 (NaN for a zero row)."""
     _, axes, mean = pca(rows, vector, k)
@@ -225,6 +258,14 @@ def bg_chsh(va: np.ndarray, vb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> t
     return tuple(round(x, 3) for x in chsh(e, at(sa, va), at(sb, vb), at(sb, va), at(sa, vb)))
 
 
+#: Correlations in both orders, cosine, CHSH of coordinates, the chances of the four pairs of projections in both product spaces
+#: (S1: a then b, S2: b then a), CHSH in both, and the largest correlation of rows of those spaces.
+PAIR_FIGURES = (
+    "correlation", "correlation_ba", "cosine", *[f"bg_c{i}" for i in range(1, 5)], *[f"p_{x}_{s}" for x in ("aa_bb", "ab_ba", "aa_ba", "ab_bb") for s in ("s1", "s2")],
+    *[f"chsh_c{i}" for i in range(1, 5)], *[f"chsh_s2_c{i}" for i in range(1, 5)], "max_correlation",
+)
+
+
 def grams_by_word(contours: DataFrame) -> DataFrame:
     """(word, n, s, g): rows, their sum and the flat sum of their outer products of each word, however large its contour.
 
@@ -289,6 +330,13 @@ def pair_study(pairs: DataFrame, contours: DataFrame, lexicon: DataFrame, k: int
         own = [] if by_concept else [F.col("vector").alias(f"v{s}")]
         rows = rows.join(spaces.select(F.col("word").alias(f"word_{s}"), F.col("space").alias(f"s{s}"), *own), f"word_{s}")
 
+    def figures_of(sa, sb, va, vb) -> tuple:
+        first, second = (lambda x, y: expectation(sa, sb, x, y)), (lambda x, y: expectation(sb, sa, x, y))
+        aa, bb, ab, ba = project(sa, va), project(sb, vb), project(sb, va), project(sa, vb)
+        chances = [e(x, y) for x, y in ((aa, bb), (ab, ba), (aa, ba), (ab, bb)) for e in (first, second)]
+        fine, worst = orthogonality(sa, sb)
+        return (*quantum_correlations(sa, sb), float(unit(va) @ unit(vb)), *bg_chsh(va, vb, sa, sb), *chances, *chsh(first, aa, bb, ab, ba), *chsh(second, aa, bb, ab, ba), worst, fine)
+
     def judge(batches):
         for pdf in batches:
             out = []
@@ -296,13 +344,10 @@ def pair_study(pairs: DataFrame, contours: DataFrame, lexicon: DataFrame, k: int
                 try:
                     va, vb = np.array(r.va, float), np.array(r.vb, float)
                     sa, sb = (np.array(x, float).reshape(-1, len(va)) for x in (r.sa, r.sb))
-                    e = lambda x, y: expectation(sa, sb, x, y)
-                    pa, pb, qa, qb = project(sa, va), project(sb, vb), project(sb, va), project(sa, vb)
-                    cos = float(unit(va) @ unit(vb))
-                    out.append((r.word_a, r.word_b, quantum_correlation(sa, sb), cos, *bg_chsh(va, vb, sa, sb), *chsh(e, pa, pb, qa, qb), None))
+                    out.append((r.word_a, r.word_b, *figures_of(sa, sb, va, vb), None))
                 except Exception as x:  # a pair that fails is told and does not stop the others
-                    out.append((r.word_a, r.word_b, *[None] * 10, str(x)))
-            yield pd.DataFrame(out, columns=["word_a", "word_b", "correlation", "cosine", *[f"bg_c{i}" for i in range(1, 5)], *[f"chsh_c{i}" for i in range(1, 5)], "error"])
+                    out.append((r.word_a, r.word_b, *[None] * (len(PAIR_FIGURES) + 1), str(x)))
+            yield pd.DataFrame(out, columns=["word_a", "word_b", *PAIR_FIGURES, "orthogonal", "error"])
 
-    figures = ", ".join(f"{c} double" for c in ["correlation", "cosine", *[f"bg_c{i}" for i in range(1, 5)], *[f"chsh_c{i}" for i in range(1, 5)]])
-    return rows.mapInPandas(judge, f"word_a {kind}, word_b {kind}, {figures}, error string")
+    figures = ", ".join(f"{c} double" for c in PAIR_FIGURES)
+    return rows.mapInPandas(judge, f"word_a {kind}, word_b {kind}, {figures}, orthogonal boolean, error string")

@@ -22,18 +22,18 @@ from lexiloom.queries_vectors import _E, _L, _P, _U, WIDTH, _rounded, emb, units
 from lexiloom.runtime import scratch_dir
 from lexiloom.sources import articles, corpora, lexicons
 
-TOP = 100
+TOP = 1000
 
 
 def _lexicon(s: SparkSession, d: str) -> DataFrame:
-    """(term, vector): the vectors of even number, for the frequent words of that rank."""
-    words = lexicons.frequent_words(docs(s, d), "body", 2 * TOP)
-    return words.join(emb(s, d).where("vec_id % 2 = 0").select(F.col("vec_id").alias("rank"), "v"), "rank").select("term", F.col("v").alias("vector"))
+    """(term, vector): each vector for the frequent word of its number as rank; words of higher ranks have none."""
+    words = lexicons.frequent_words(docs(s, d), "body", TOP)
+    return words.join(emb(s, d).select(F.col("vec_id").alias("rank"), "v"), "rank").select("term", F.col("v").alias("vector"))
 
 
-_WORDS = r"""w AS (SELECT word AS term, row_number() OVER (ORDER BY n DESC, word) AS rank FROM
+_WORDS = rf"""w AS (SELECT word AS term, row_number() OVER (ORDER BY n DESC, word) AS rank FROM
   (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS word FROM documents) WHERE word <> '' GROUP BY word)),
-x AS (SELECT term, rank, embedding::DOUBLE[] AS v FROM w JOIN embeddings ON vec_id = rank WHERE rank % 2 = 0 AND rank <= 200)"""
+x AS (SELECT term, rank, embedding::DOUBLE[] AS v FROM w JOIN embeddings ON vec_id = rank WHERE rank <= {TOP})"""
 _FLAT = f"unnest(range({WIDTH}))::INTEGER AS dim, round(unnest({{}}), 8) AS x"
 
 
@@ -84,7 +84,7 @@ def _ensured(s: SparkSession, d: str) -> DataFrame:
 
 def _targets(s: SparkSession, d: str) -> DataFrame:
     words = lexicons.frequent_words(docs(s, d), "body", TOP)
-    given = words.select(F.when(F.col("rank") % 3 == 0, F.upper("term")).otherwise(F.col("term")).alias("term"))
+    given = words.select(F.when((F.col("rank") % 3 == 0) & F.col("term").rlike("^[a-z]+$"), F.upper("term")).otherwise(F.col("term")).alias("term"))
     return _flat(lexicons.with_fallback(given, _lexicon(s, d)), "term")
 
 
@@ -150,10 +150,7 @@ def _concept_study(s: SparkSession, d: str) -> DataFrame:
 
 
 def _horn(s: SparkSession, d: str) -> DataFrame:
-    import numpy as np
-
-    data = np.array([r["v"][:16] for r in emb(s, d).where("label = 0").orderBy("vec_id").limit(200).collect()])
-    r = L.horn(s, data, 20, 1)
+    r = L.horn_rows(emb(s, d), "v", 20, 1)
     return s.createDataFrame([(i, float(a), float(b), r["retain"]) for i, (a, b) in enumerate(zip(r["real"], r["random"], strict=True))], "k int, real double, random double, retain int")
 
 
@@ -219,7 +216,7 @@ SELECT title, md5(substr(body, 1, 1500)) AS body, hits FROM h WHERE hits >= 2 OR
     ),
     # lexicons
     "frequent_corpus": (lambda s, d: _flat(lexicons.corpus(lexicons.frequent_words(docs(s, d), "body", TOP), _lexicon(s, d)), "term"), f"WITH {_WORDS} SELECT term, {_FLAT.format('v')} FROM x WHERE rank <= {TOP}"),
-    "target_words": (_targets, f"WITH {_WORDS} SELECT CASE WHEN rank % 3 = 0 AND upper(term) <> term THEN upper(term) ELSE term END AS term, {_FLAT.format('v')} FROM x WHERE rank <= {TOP}"),
+    "target_words": (_targets, f"WITH {_WORDS} SELECT CASE WHEN rank % 3 = 0 AND regexp_full_match(term, '[a-z]+') THEN upper(term) ELSE term END AS term, {_FLAT.format('v')} FROM x WHERE rank <= {TOP}"),
     "static_vectors": (
         lambda s, d: _flat(K.static_vectors(lexicons.frequent_words(docs(s, d), "body", TOP).select(F.col("term").alias("word")), _lexicon(s, d), WIDTH), "word"),
         f"WITH {_WORDS} SELECT term AS word, {_FLAT.format('list_transform(v, lambda y: y / (sqrt(list_inner_product(v, v)) + 1e-12))')} FROM x WHERE rank <= {TOP} AND NOT contains(term, '-') AND NOT contains(term, '_')",

@@ -137,6 +137,23 @@ def test_parallel_analysis(spark):
     assert np.allclose(r["real"], s[:11] / s.sum())
 
 
+@pytest.mark.parametrize("n, d", [(400, 6), (7, 6), (6, 6), (5, 8)])
+def test_parallel_analysis_of_a_table(spark, n, d):
+    rng = np.random.default_rng(n)
+    data = rng.standard_normal((n, d)) + 2 * rng.standard_normal((n, 1))
+    rows = spark.createDataFrame([(x.tolist(),) for x in data], "v array<double>")
+    got, want = L.horn_rows(rows, "v", 300, 3), L.horn(spark, data, 300, 4)
+    assert len(got["real"]) == min(n, d) - 1 and np.allclose(got["real"], want["real"])
+    assert np.allclose(got["random"], [np.mean([noise(n, d, i)[k] for i in range(300)]) for k in range(min(n, d) - 1)], atol=0.02)
+
+
+def noise(n, d, seed):
+    """Ratios of random rows as they are, not z-scored."""
+    x = np.random.default_rng(1000 + seed).standard_normal((n, d))
+    v = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    return v / v.sum()
+
+
 def test_lsa_values(spark):
     import re
 
@@ -430,3 +447,23 @@ def test_groups_by_expression(spark):
     for out in (P.cap_per_group(d, 2, F.col("id") % 4, ["id"]), P.stratified(d, 8, F.col("id") % 4, ["id"]), P.cap_per_group_spaced(d, 2, F.col("id") % 4, ["id"], "start", 5)):
         rows = out.collect()
         assert out.columns == ["id", "start"] and len(rows) == 8 and sorted(r.id % 4 for r in rows) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+# Published rows of a pair study (chances in both spaces, correlations, CHSH 1 to 4), rounded to three places.
+PUBLISHED = [
+    ((1.003, 0.001, 0.003, 1.005, 0.051, 0.032, 0.055, 0.035), (0.015658517866638764, 0.015658517866638733), (1.009, 2.005, 1.004, 0.004)),
+    ((1.007, 0.008, 0.009, 1.015, 0.094, 0.095, 0.095, 0.082), (0.02750181851409981, 0.027501818514099646), (1.017, 2.009, 1.036, 0.018)),
+]
+
+
+def test_identities_between_figures(spark):
+    for p, (ab, ba), c in PUBLISHED:
+        assert abs(p[0] - p[4] + p[6] + p[2] - c[0]) < 0.003 and abs(ab - ba) < 2e-15
+    got = run(spark, "pair_study")
+    assert np.allclose(got.p_aa_bb_s1 - got.p_aa_ba_s1 + got.p_ab_bb_s1 + got.p_ab_ba_s1, got.chsh_c1)
+    assert np.allclose(got.p_aa_bb_s2 - got.p_aa_ba_s2 + got.p_ab_bb_s2 + got.p_ab_ba_s2, got.chsh_s2_c1)
+    assert (abs(got.correlation - got.correlation_ba) < 2e-15).all() and (got.orthogonal == (got.max_correlation <= 0.01)).all()
+    chances = got[[c for c in got.columns if c.startswith("p_")]].to_numpy()
+    assert (chances >= 0).all() and (chances <= 1 + 1e-9).all()
+    concepts = run(spark, "pair_concept_study")
+    assert np.allclose(concepts.cosine, 1) and (concepts.error.isna()).all()
