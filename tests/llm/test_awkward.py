@@ -173,16 +173,24 @@ def test_pipeline_of_awkward_rows(spark):
     texts = [(20 + k, good(k)) for k in range(6)] + [(20, good(9)), (20, good(0)), (None, good(7)), (30, good(8) + "\n" + " ".join(good(1).split()[:60]))]
     rows = [(i, t, "en", "s1" if k % 2 else None, len(t)) for k, (i, t) in enumerate(texts)]
     d = clashing(spark).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(None).alias(c) for c in ["kept", "size", "figures", "ids", *CLASH]]))
+    seen = []
+
+    def watched(stage):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            seen.append((docs.columns, out.columns))
+            return out
+
+        return run
+
     for stages in (cp.STAGES, cp.PASSAGE_STAGES):
-        docs = d
-        for name, stage in stages[:-1]:
-            docs = stage(spark, docs, SF)
-            assert docs.columns == d.columns, name
-        out = cp._run(spark, SF, stages, d)
+        seen.clear()
+        out = cp._run(spark, SF, [(name, watched(stage)) for name, stage in stages], d)
+        assert [b for _, b in seen[:-1]] == [d.columns] * 4 and [a for a, _ in seen] == [d.columns] * 5
         assert out.columns == ["doc_id", "source", "n_tokens", "ids"] and {r.doc_id for r in out.collect()} >= {21, 22, None}
-        assert cp._run(spark, SF, stages, d.limit(0)).count() == 0
-        kept = near = collections.Counter(r.text for r in stages[1][1](spark, stages[0][1](spark, d, SF), SF).collect())
-        assert near[good(9)] == 1 and near[good(0)] == 1 and kept[BASE] <= 1
+    assert cp._run(spark, SF, cp.PASSAGE_STAGES, d.limit(0)).count() == 0
+    near = collections.Counter(r.text for r in cp.near_duplicates(spark, cp.quality(spark, d, SF), SF).collect())
+    assert near[good(9)] == 1 and near[good(0)] == 1 and near[BASE] <= 1
 
 
 def test_passages_of_the_pipeline(spark):
