@@ -287,9 +287,13 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
     classes = usable.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t")).alias("r"), *[F.first(c).alias(c) for c in ("bands", *sketch)])
     classes = scratch.save(classes.select("f1", "f2", F.col("r.doc_id").alias("rep_id"), F.col("r.t").alias("rep_t"), "bands", *sketch), "classes")
     owners = classes.groupBy("rep_id").agg(F.min(F.struct("f1", "f2")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    node = F.when(F.col("owner").isNull() | (F.struct("f1", "f2") == F.col("owner")), F.col("rep_id")).otherwise(F.xxhash64("f1", "f2"))
-    classes = classes.join(scratch.save(owners, "owners"), "rep_id", "left").withColumn("rep", node).drop("owner")
-    nodes = scratch.save(classes.select("rep", "rep_id", "rep_t", "f1", "f2"), "nodes")
+    owners = scratch.save(owners, "owners")
+    if owners.isEmpty():  # as a rule: the same without the join
+        classes = classes.withColumn("rep", F.col("rep_id"))
+    else:
+        node = F.when(F.col("owner").isNull() | (F.struct("f1", "f2") == F.col("owner")), F.col("rep_id")).otherwise(F.xxhash64("f1", "f2"))
+        classes = classes.join(owners, "rep_id", "left").withColumn("rep", node).drop("owner")
+    nodes = classes.select("rep", "rep_id", "rep_t", "f1", "f2")
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     shared = scratch.save(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "shared")
@@ -334,7 +338,7 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
     named = scratch.save(nodes.join(known, nodes["rep"] == known["node"], "left").select("f1", "f2", "rep_id", "rep_t", F.coalesce("component", "rep").alias("c")), "named")
     least = named.groupBy("c").agg(F.min(F.struct("rep_id", "rep_t")).alias("least"))
     named = scratch.save(named.join(least, "c").select("f1", "f2", "least"), "least")
-    scratch.drop("classes", "owners", "nodes", "shared", "banded", "texts", "sketches", "links-0-near", "links-0", "components-0", "open", "close", "clustered", "active", "sizes", "links-1", "components-1", "named")
+    scratch.drop("classes", "owners", "shared", "banded", "texts", "sketches", "links-0-near", "links-0", "components-0", "open", "close", "clustered", "active", "sizes", "links-1", "components-1", "named")
     out = signed.join(named, ["f1", "f2"], "left")
     taking_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(taking_part, F.col("least.rep_id")).otherwise(F.col("doc_id"))
