@@ -10,13 +10,13 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions import vectors as V
-from lexiloom.runtime import ship
+from lexiloom.runtime import SLICE, ship
 
 
 _WORDS = re.compile(r"\w+|[^\w\s]")
@@ -84,7 +84,10 @@ def centre(n: Column, first: Column, last: Column, budget: int) -> Column:
 
 
 class Encoder(Protocol):
-    """Vectors of the tokens of one unit: (layers, tokens, width)."""
+    """Vectors of the tokens of one unit: (layers, tokens, width).
+
+    An encoder may have `reach`: a token's vector depends on so many tokens on either side and on none beyond.
+    """
 
     width: int
     layers: int
@@ -101,6 +104,8 @@ def _hashed(token: str, width: int) -> np.ndarray:
 class HashEncoder:
     """A deterministic stand-in for a model: a token's vector by layer and position comes from its hash."""
 
+    reach = 1
+
     def __init__(self, width: int = 16, layers: int = 4):
         self.width, self.layers = width, layers
 
@@ -115,24 +120,57 @@ class HashEncoder:
         n[1:] += 1
         n[:-1] += 1
         around /= n
-        return np.array([base * (1 - k / (2 * self.layers)) + around * k / (2 * self.layers) for k in range(1, self.layers + 1)])
+        k = np.arange(1, self.layers + 1).reshape(-1, 1, 1)
+        return base * (1 - k / (2 * self.layers)) + around * k / (2 * self.layers)
+
 
+def vectors_at(encoder: Encoder, tokens: list[str], at: list[int]) -> np.ndarray:
+    """(layers, at, width): vectors of the tokens at some places; an encoder that says its reach sees no more than that around each."""
+    if (reach := getattr(encoder, "reach", None)) is None or len(at) * (2 * reach + 1) >= len(tokens):
+        return encoder(tokens)[:, at]
+    out = np.empty((encoder.layers, len(at), encoder.width))
+    for n, k in enumerate(at):
+        low = max(0, k - reach)
+        out[:, n] = encoder(tokens[low : k + reach + 1])[:, k - low]
+    return out
 
-def encode(units: DataFrame, encoder: Encoder, key: list[str], words: str = "words", layer: str = "last", n_last: int = 4) -> DataFrame:
-    """key and token_vectors (array<array<double>>): the last layer, or the mean of the n last."""
+
+def encode(units: DataFrame, encoder: Encoder, key: list[str], words: str = "words", layer: str = "last", n_last: int = 4, at: str | None = None) -> DataFrame:
+    """key and token_vectors (array<array<double>>): the last layer, or the mean of the n last.
+
+    at: a column of token indices, to have the vectors of those alone (an index that no token has gives null). A slice of
+    units is encoded at once and its vectors go as flat arrays, so memory does not grow with a batch.
+    """
     ship(units.sparkSession)
-    inner = units.select(*key, words)
+    inner = units.select(*key, words, *([at] if at else []))
     kinds = ", ".join(f"{k} {inner.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for tokens in rows[words]:
-                stack = encoder(list(tokens))
-                out.append((stack[-1] if layer == "last" else stack[-n_last:].mean(axis=0)).tolist())
-            yield rows[key].assign(token_vectors=out)
-
-    return inner.mapInPandas(run, f"{kinds}, token_vectors array<array<double>>")
+    def picked(tokens: list[str], places: list[int] | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Vectors, and which of the places have none."""
+        if places is None:
+            stack, none = encoder(tokens), None
+        else:
+            none = np.array([k is None or not 0 <= k < len(tokens) for k in places], bool)
+            stack = vectors_at(encoder, tokens, [k for k, no in zip(places, none, strict=True) if not no])
+        return stack[-1] if layer == "last" else stack[-n_last:].mean(axis=0), none
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                tokens = part.column(len(key)).to_pylist()
+                places = part.column(len(key) + 1).to_pylist() if at else [None] * len(tokens)
+                both = [picked(t, p) for t, p in zip(tokens, places, strict=True)]
+                flat = np.concatenate([x for x, _ in both])
+                none = np.concatenate([np.zeros(len(x), bool) if no is None else no for x, no in both])
+                sizes = [len(x) if no is None else len(no) for x, no in both]
+                # a null list has no values, and its offset is where the next one begins
+                ends = np.r_[0, np.cumsum(np.where(none, 0, encoder.width))].astype(np.int32)
+                inner_lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False) if none.any() else None), pa.array(flat.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), inner_lists)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(key)], lists], names=[*key, "token_vectors"])
+
+    return inner.mapInArrow(run, f"{kinds}, token_vectors array<array<double>>")
 
 
 def aggregate_units(units: DataFrame, width: int, strategy: str = "mean_pooling", representative: str = "first") -> DataFrame:

@@ -6,12 +6,12 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.runtime import ship
+from lexiloom.runtime import handed_on, rows_of, ship
 
 CUT = r"[.!?]+\s+"
 # Section headers that begin an appendix, signs in titles and in texts of pages that are no articles.
@@ -27,6 +27,19 @@ def corpus(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.col("text").alias("body"), "source", F.col("lang").alias("language"), meta.alias("meta"))
 
 
+def _taken_apart(docs: DataFrame, of: Callable[[tuple], Iterator[tuple]], **kinds: str) -> DataFrame:
+    """(doc_id, *kinds): what `of` gives of each row of docs, whose first column is doc_id. Bounded in memory, see `handed_on`."""
+    ship(docs.sparkSession)
+    arrow = {"int": pa.int32(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.types[0]), *((k, arrow[v]) for k, v in kinds.items())])
+            yield from handed_on((x for row in rows_of([batch]) for x in of(row)), schema)
+
+    return docs.mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{k} {v}" for k, v in kinds.items())]))
+
+
 def validate(docs: DataFrame) -> DataFrame:
     """Defects: rows without a body or id, and ids that repeat."""
     bad = docs.where(F.col("body").isNull() | F.col("doc_id").isNull()).select("doc_id", F.lit("missing").alias("defect"))
@@ -55,15 +68,12 @@ def _stripped(body: str) -> Iterator[tuple[int, int, str]]:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """One row a sentence: doc_id, occ, start, end, text, source. One pass over each body, in Arrow batches."""
-    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(d, k, *p, s) for d, b, s in rows.itertuples(index=False) if b for k, p in enumerate(_stripped(b))]
-            yield pd.DataFrame(out, columns=["doc_id", "occ", "start", "end", "text", "source"])
+    def of(row: tuple) -> Iterator[tuple]:
+        doc, body, source = row
+        return ((doc, k, *p, source) for k, p in enumerate(_stripped(body or "")))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "body", "source").mapInPandas(run, f"doc_id {kind}, occ int, start int, end int, text string, source string")
+    return _taken_apart(docs.select("doc_id", "body", "source"), of, occ="int", start="int", end="int", text="string", source="string")
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -90,29 +100,56 @@ def hits(body: Column, terms: list[str]) -> Column:
     return sum((F.regexp_count(folded, F.lit(T.pattern(t))) for t in terms[1:]), F.regexp_count(folded, F.lit(T.pattern(terms[0]))))
 
 
+def _contexts(word: str, most: int | None) -> Callable[[str], Iterator[tuple[str, int, list[str]]]]:
+    """(key, position, words) of each occurrence in the valid sentences of a body."""
+    cut, rule, low = re.compile(r"(?<=[.!?])\s+(?=[A-Z])"), re.compile(rf"\b{re.escape(word.lower())}\b"), word.lower()
+    other = re.compile(r"[^\w]")
+
+    def contexts(body: str) -> Iterator[tuple[str, int, list[str]]]:
+        ctx = 0
+        for sentence in cut.split(body):
+            if ctx == most:
+                return
+            if rule.search(sentence.lower()) and len(words := sentence.split()) >= 5:
+                for occ, k in enumerate(k for k, w in enumerate(words) if other.sub("", w.lower()) == low):
+                    yield f"ctx_{ctx:03d}_occ_{occ:02d}", k, words
+                ctx += 1
+
+    return contexts
+
+
+def _holding(docs: DataFrame, word: str) -> DataFrame:
+    return docs.select("doc_id", "body").where(F.lower("body").contains(word.lower()))
+
+
 def word_contexts(docs: DataFrame, word: str, most: int | None = None) -> DataFrame:
     """Sentences with a word as library contours take them: split before a capital, at least five words, target marked.
 
     Only valid sentences are numbered, and `most` limits those. One row an occurrence: doc_id, key, position, marked.
     """
-    ship(docs.sparkSession)
-    cut, rule, low = re.compile(r"(?<=[.!?])\s+(?=[A-Z])"), re.compile(rf"\b{re.escape(word.lower())}\b"), word.lower()
-    other = re.compile(r"[^\w]")
+    contexts = _contexts(word, most)
 
-    def contexts(body: str) -> Iterator[tuple[str, int, str]]:
-        valid = (s.split() for s in cut.split(body) if rule.search(s.lower()))
-        for ctx, words in enumerate([w for w in valid if len(w) >= 5][:most]):
-            for occ, k in enumerate(k for k, w in enumerate(words) if other.sub("", w.lower()) == low):
-                yield f"ctx_{ctx:03d}_occ_{occ:02d}", k, " ".join([*words[:k], f"[TARGET]{words[k]}[/TARGET]", *words[k + 1 :]])
+    def of(row: tuple) -> Iterator[tuple]:
+        for key, k, words in contexts(row[1]):
+            yield row[0], key, k, " ".join([*words[:k], f"[TARGET]{words[k]}[/TARGET]", *words[k + 1 :]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(d, *x) for d, b in rows.itertuples(index=False) for x in contexts(b)]
-            yield pd.DataFrame(out, columns=["doc_id", "key", "position", "marked"])
+    return _taken_apart(_holding(docs, word), of, key="string", position="int", marked="string")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "body").where(F.lower("body").contains(low))
-    return rows.mapInPandas(run, f"doc_id {kind}, key string, position int, marked string")
+
+def context_windows(docs: DataFrame, word: str, most: int) -> DataFrame:
+    """The words of `word_contexts` in a window of at most `most` of them around the marked one, position being that of the
+    window: doc_id, key, position, words. No sentence is copied to its occurrences."""
+    contexts = _contexts(word, None)
+
+    def of(row: tuple) -> Iterator[tuple]:
+        for key, k, words in contexts(row[1]):
+            a = max(0, k - (most - 1) // 2)  # as tokens.centre: what one edge lacks goes to the other
+            b = min(a + most, len(words))
+            a = max(0, min(a, b - most))
+            yield row[0], key, k - a, "\n".join([*words[a:k], f"[TARGET]{words[k]}[/TARGET]", *words[k + 1 : b]])
+
+    rows = _taken_apart(_holding(docs, word), of, key="string", position="int", words="string")
+    return rows.withColumn("words", F.split("words", "\n"))
 
 
 # KWIC windows: where the context of each occurrence begins and ends, from positions taken once a body
@@ -154,22 +191,17 @@ def _lines(docs: DataFrame, found: Callable[[tuple], list[tuple[int, int, int, s
     """One row an occurrence of the rows (doc_id, body, source, ...); found gives (occ, start, end, text) of a row."""
     if mode not in _WINDOWS:
         raise ValueError("mode must be chars, words, sentence or paragraph")
-    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for row in rows.itertuples(index=False):
-                doc, body, source = row[:3]
-                window = None
-                for occ, start, end, text in found(row) if body else []:
-                    window = window or _WINDOWS[mode](body, size)
-                    a, b = window(start, end)
-                    out.append((doc, occ, start, end, body[a:start], text, body[end:b], a, b, source))
-            yield pd.DataFrame(out, columns=_LINE)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, occ int, start int, end int, left string, text string, right string, w_start int, w_end int, source string")
+    def of(row: tuple) -> Iterator[tuple]:
+        doc, body, source = row[:3]
+        window = None
+        for occ, start, end, text in found(row) if body else []:
+            window = window or _WINDOWS[mode](body, size)
+            a, b = window(start, end)
+            yield doc, occ, start, end, body[a:start], text, body[end:b], a, b, source
+
+    kinds = dict.fromkeys(_LINE[1:], "int") | dict.fromkeys(("left", "text", "right", "source"), "string")
+    return _taken_apart(docs, of, **kinds)
 
 
 def concordance(docs: DataFrame, word: str, match: str = "exact", mode: str = "chars", size: int = 50) -> DataFrame:
