@@ -78,3 +78,9 @@ def test_context_windows_are_those_of_the_contexts(spark):
         ctx = ctx.withColumn("c", K.centre(F.size("w"), F.col("position"), F.col("position"), most))
         want = {(r.doc_id, r.key): (r.position - r.c.a, r.w[r.c.a : r.c.b]) for r in ctx.collect()}
         assert got == want and got
+
+
+@pytest.mark.parametrize("mode", ["paragraph"])
+def test_lines_are_handed_on_in_bounded_batches(spark, mode):
+    run = U.concordance(docs(spark), "the", "exact", mode, 20)
+    bounded(out(run, list(range(N)), [BODY] * N, ["s"] * N), 300 * N)
