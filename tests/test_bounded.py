@@ -80,7 +80,7 @@ def test_context_windows_are_those_of_the_contexts(spark):
         assert got == want and got
 
 
-@pytest.mark.parametrize("mode", ["paragraph", "sentence", "words"])
+@pytest.mark.parametrize("mode", ["paragraph", "sentence", "words", "chars"])
 def test_lines_are_handed_on_in_bounded_batches(spark, mode):
     run = U.concordance(docs(spark), "the", "exact", mode, 20)
     bounded(out(run, list(range(N)), [BODY] * N, ["s"] * N), 300 * N)
