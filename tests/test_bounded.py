@@ -84,3 +84,7 @@ def test_context_windows_are_those_of_the_contexts(spark):
 def test_lines_are_handed_on_in_bounded_batches(spark, mode):
     run = U.concordance(docs(spark), "the", "exact", mode, 20)
     bounded(out(run, list(range(N)), [BODY] * N, ["s"] * N), 300 * N)
+
+
+def test_sentences_are_handed_on_in_bounded_batches(spark):
+    bounded(out(U.sentences(docs(spark)), list(range(N)), [BODY] * N, ["s"] * N), 200 * N)
