@@ -88,3 +88,8 @@ def test_lines_are_handed_on_in_bounded_batches(spark, mode):
 
 def test_sentences_are_handed_on_in_bounded_batches(spark):
     bounded(out(U.sentences(docs(spark)), list(range(N)), [BODY] * N, ["s"] * N), 200 * N)
+
+
+def test_contexts_are_handed_on_in_bounded_batches(spark):
+    body = "the dog sat in the sun " * 100  # one sentence, copied to each occurrence
+    bounded(out(U.word_contexts(docs(spark), "the"), list(range(N)), [body] * N), 200 * N)
