@@ -93,3 +93,10 @@ def test_sentences_are_handed_on_in_bounded_batches(spark):
 def test_contexts_are_handed_on_in_bounded_batches(spark):
     body = "the dog sat in the sun " * 100  # one sentence, copied to each occurrence
     bounded(out(U.word_contexts(docs(spark), "the"), list(range(N)), [body] * N), 200 * N)
+
+
+def test_encoded_units_are_handed_on_in_slices(spark):
+    units = Kernel(spark.createDataFrame([(0, ["a"])], "doc_id int, words array<string>"))
+    run = K.encode(units, K.HashEncoder(), ["doc_id"])
+    got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([["a", "b"] * 50] * 1000)], names=["doc_id", "words"])])))
+    assert sum(b.num_rows for b in got) == 1000 and max(b.nbytes for b in got) < 2 << 20
