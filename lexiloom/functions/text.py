@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.runtime import ship
+from lexiloom.runtime import SLICE, ship
 
 MODES = ("exact", "variants", "loose")
 _SPECIAL = re.compile(r"([^\w\s]|_)", re.UNICODE)
 #: White space as Python understands it, spelt out since Java's \s differs.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
 
+_LONG_WHITE = re.compile(WHITE + "{2,}")
+
 
 def pattern(word: str, mode: str = "exact") -> str:
     """A regular expression, ignoring case, for a word as such, with a short suffix, or anywhere."""
@@ -104,14 +107,34 @@ def collapse_offset(body: Column, at: Column) -> Column:
     return F.length(collapse_whitespace(F.substring(body, F.lit(1), at)))
 
 
-def _series(f: Callable[[str], str]):
+def collapsed(body: str) -> Callable[[int], int]:
+    """collapse_offset for any number of offsets of one body, from its runs of white space taken once."""
+    runs = [m.span() for m in _LONG_WHITE.finditer(body)]
+    first, gone = [a for a, _ in runs], [0]
+    for a, b in runs:
+        gone.append(gone[-1] + b - a - 1)
+
+    def at(x: int) -> int:
+        k = bisect_left(first, x)
+        return x if k == 0 else x - gone[k - 1] - (min(runs[k - 1][1], x) - runs[k - 1][0] - 1)
+
+    return at
+
+
+def _series(f: Callable[[str], str], plain: Callable[[str], str] | None = None):
+    """f of texts that are not of ASCII characters alone (those stay, or are given to `plain`), a slice of a batch at a time."""
     if (session := SparkSession.getActiveSession()) is not None:
         ship(session)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: None if x is None else x if x.isascii() else f(x))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for low in range(0, max(1, len(batch)), SLICE):
+                part = batch.slice(low, SLICE)
+                if plain is None and pc.all(pc.string_is_ascii(part), min_count=0).as_py():
+                    yield part
+                else:
+                    yield pa.array([None if x is None else f(x) if not x.isascii() else plain(x) if plain else x for x in part.to_pylist()], pa.string())
 
     return run
 
@@ -207,11 +230,7 @@ def html_unescape(x: Column) -> Column:
     """The named entities of XML, and numeric ones by the standard library."""
     import html
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else html.unescape(v))
-
-    return run(x)
+    return _series(html.unescape, html.unescape)(x)
 
 
 def highlight(words: Column, at: Column, most: int = 15) -> Column:

@@ -100,3 +100,9 @@ def test_encoded_units_are_handed_on_in_slices(spark):
     run = K.encode(units, K.HashEncoder(), ["doc_id"])
     got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([["a", "b"] * 50] * 1000)], names=["doc_id", "words"])])))
     assert sum(b.num_rows for b in got) == 1000 and max(b.nbytes for b in got) < 2 << 20
+
+
+def test_text_functions_hand_on_slices(spark):
+    texts = ["x" * 50 + "é", None, "plain"] * 500
+    got = list(T._series(lambda s: s + "!").func(iter([pa.array(texts)])))
+    assert max(len(a) for a in got) <= 64 and pa.chunked_array(got).to_pylist() == [x and (x + "!" if not x.isascii() else x) for x in texts]
