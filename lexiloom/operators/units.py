@@ -54,6 +54,17 @@ def segments(docs: DataFrame, word: str, mode: str = "exact") -> DataFrame:
     return rows.select("doc_id", "occ", "m.start", "m.end", "m.text", "body", "source")
 
 
+def remapped(docs: DataFrame, word: str, mode: str = "exact") -> DataFrame:
+    """Where each match of a word starts once white space is collapsed: doc_id, occ, start. One pass over a body, whatever its matches."""
+    rule = re.compile(T.python_pattern(word, mode), re.IGNORECASE)
+
+    def of(row: tuple) -> Iterator[tuple]:
+        at = T.collapsed(row[1])
+        return ((row[0], k, at(m.start())) for k, m in enumerate(rule.finditer(row[1])))
+
+    return _taken_apart(with_word(docs, word, mode).select("doc_id", "body"), of, occ="int", start="int")
+
+
 def _stripped(body: str) -> Iterator[tuple[int, int, str]]:
     """Pieces that end after each cut, stripped, with offsets; blank ones go."""
     at = 0

@@ -174,7 +174,7 @@ SELECT doc_id, occ, start, {_END}, md5(substr(body, greatest(start - 30, 0) + 1,
         f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY length(text) // 1000 ORDER BY {_md5(4, 'doc_id')}, doc_id) <= 2",
     ),
     "offset_remap": (
-        lambda s, d: seg(s, d).select("doc_id", "occ", T.collapse_offset(F.col("body"), F.col("start")).alias("start")),
+        lambda s, d: U.remapped(docs(s, d), WORD),
         _SEG + rf" SELECT doc_id, occ, length(regexp_replace(substr(body, 1, start), '{_WS}+', ' ', 'g'))::INTEGER AS start FROM occ",
     ),
     "top_words": (

@@ -106,3 +106,24 @@ def test_text_functions_hand_on_slices(spark):
     texts = ["x" * 50 + "é", None, "plain"] * 500
     got = list(T._series(lambda s: s + "!").func(iter([pa.array(texts)])))
     assert max(len(a) for a in got) <= 64 and pa.chunked_array(got).to_pylist() == [x and (x + "!" if not x.isascii() else x) for x in texts]
+
+
+def test_offsets_after_collapsing_are_lengths_of_collapsed_prefixes(spark):
+    import re
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        body = "".join(rng.choice(list("ab \n\t 　"), 40))
+        at = T.collapsed(body)
+        assert [at(x) for x in range(41)] == [len(re.sub(T.WHITE + "+", " ", body[:x])) for x in range(41)]
+
+
+def test_offsets_are_found_in_one_pass_over_a_body(spark):
+    """A body of n occurrences was collapsed n times, up to each of them."""
+    import time
+
+    body = "the  cat \n" * 40_000
+    began = time.perf_counter()
+    d = spark.createDataFrame([(0, body, "s")], "doc_id int, body string, source string")
+    got = U.remapped(d, "the").agg(F.count("*"), F.max("start")).first()
+    assert tuple(got) == (40_000, 39_999 * 8) and time.perf_counter() - began < 30
