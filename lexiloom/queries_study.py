@@ -59,7 +59,7 @@ SELECT vec_id, round(sqrt(a), 8) AS re, round(sqrt(b), 8) AS im, round(sqrt(a +
 CASE WHEN abs(std / mean) < 0.01 THEN 'very stable' WHEN abs(std / mean) < 0.02 THEN 'stable' WHEN abs(std / mean) < 0.05 THEN 'moderate' ELSE 'variable' END AS label FROM l""",
     ),
     "extreme_pairs": (
-        lambda s, d: _rounded(study.extreme_pairs(S.pairs(units(s, d))), "largest", "smallest"),
+        lambda s, d: _rounded(study.extreme_pairs(S.end_pairs(units(s, d))), "largest", "smallest"),
         _P + """ SELECT DISTINCT word, first_value(i) OVER a AS large_i, first_value(j) OVER a AS large_j, round(first_value(sim) OVER a, 8) AS largest,
 first_value(i) OVER b AS small_i, first_value(j) OVER b AS small_j, round(first_value(sim) OVER b, 8) AS smallest
 FROM p WINDOW a AS (PARTITION BY word ORDER BY sim DESC, i, j), b AS (PARTITION BY word ORDER BY sim, i, j)""",
