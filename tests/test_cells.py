@@ -43,6 +43,13 @@ def blocks(request, monkeypatch):
     monkeypatch.setattr(S, "TERMS", request.param)
 
 
+def test_pairs_are_those_of_a_join_to_the_last_bit(units, every, blocks):
+    text = lambda df: sorted(map(repr, df.collect()))
+    assert text(S.pairs(units)) == text(every)
+    for places in (3, 8):
+        assert text(S.pairs(units, places)) == text(every.withColumn("sim", F.round("sim", places)))
+
+
 def test_statistics_are_those_of_a_join(units, every, blocks):
     agg = every.groupBy("word").agg(F.count("*"), F.avg("sim"), F.stddev_pop("sim"), F.min("sim").alias("a"), F.max("sim").alias("b"), F.median("sim"), F.var_pop("sim"))
     same(S.stats(units), agg.withColumn("range", F.col("b") - F.col("a")))
