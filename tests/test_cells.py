@@ -55,6 +55,11 @@ def test_statistics_are_those_of_a_join(units, every, blocks):
     same(S.stats(units), agg.withColumn("range", F.col("b") - F.col("a")))
 
 
+def test_boxes_are_those_of_a_join(units, every, blocks):
+    q = [F.percentile("sim", F.lit(p)) for p in (0.25, 0.5, 0.75)]
+    same(S.box(units), every.groupBy("word").agg(F.min("sim"), *q, F.max("sim")))
+
+
 def test_a_tile_does_not_grow_with_the_block():
     n = 3000
     x = np.random.default_rng(0).standard_normal((n, 4))
