@@ -60,6 +60,16 @@ def test_boxes_are_those_of_a_join(units, every, blocks):
     same(S.box(units), every.groupBy("word").agg(F.min("sim"), *q, F.max("sim")))
 
 
+def test_histograms_are_those_of_a_join(units, every, blocks):
+    p = every.withColumn("sim", F.round("sim", 6))
+    p = p.join(p.groupBy("word").agg(F.min("sim").alias("lo"), F.max("sim").alias("hi")), "word")
+    wide = F.col("hi") > F.col("lo")
+    at = F.when(wide, F.least(F.floor((F.col("sim") - F.col("lo")) / F.when(wide, F.col("hi") - F.col("lo")) * 20), F.lit(19))).otherwise(0).cast("int")
+    want = p.where("word <> 'zero'").groupBy("word", at.alias("bin")).agg(F.min(F.col("lo") + at * (F.col("hi") - F.col("lo")) / 20), F.count("*"))
+    same(S.histogram(units).where("word <> 'zero'"), want)
+    assert S.histogram(units).where("word = 'zero'").agg(F.sum("n")).first()[0] == 66
+
+
 def test_a_tile_does_not_grow_with_the_block():
     n = 3000
     x = np.random.default_rng(0).standard_normal((n, 4))
