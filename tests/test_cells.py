@@ -70,6 +70,15 @@ def test_histograms_are_those_of_a_join(units, every, blocks):
     assert S.histogram(units).where("word = 'zero'").agg(F.sum("n")).first()[0] == 66
 
 
+def test_nearest_terms_are_those_of_a_join(units, blocks):
+    terms = units.where("word = 'grid' or word = 'zero'").select((F.col("idx") + F.when(F.col("word") == "grid", 0).otherwise(100)).alias("term"), "u")
+    q = terms.where("term % 4 = 0")
+    p = terms.crossJoin(q.select(F.col("term").alias("query"), F.col("u").alias("q"))).where("term <> query").select("query", "term", V.dot(F.col("u"), F.col("q")).alias("sim"))
+    p.createOrReplaceTempView("every_term")
+    want = p.sparkSession.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, term) AS rank FROM every_term) WHERE rank <= 5")
+    assert sorted(map(repr, S.nearest(terms, q, 5).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_a_tile_does_not_grow_with_the_block():
     n = 3000
     x = np.random.default_rng(0).standard_normal((n, 4))
