@@ -70,6 +70,11 @@ def test_histograms_are_those_of_a_join(units, every, blocks):
     assert S.histogram(units).where("word = 'zero'").agg(F.sum("n")).first()[0] == 66
 
 
+def test_extreme_pairs_are_those_of_a_join(units, every, blocks):
+    text = lambda df: sorted(map(repr, df.collect()))
+    assert text(study.extreme_pairs(S.end_pairs(units))) == text(study.extreme_pairs(every))
+
+
 def test_nearest_terms_are_those_of_a_join(units, blocks):
     terms = units.where("word = 'grid' or word = 'zero'").select((F.col("idx") + F.when(F.col("word") == "grid", 0).otherwise(100)).alias("term"), "u")
     q = terms.where("term % 4 = 0")
