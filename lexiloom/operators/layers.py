@@ -83,6 +83,19 @@ def model_agreement(cells: DataFrame) -> DataFrame:
     return out.withColumn("difference", F.col("intra") - F.col("inter"))
 
 
+def agreement(units: DataFrame, model: Column, kind: Column, width: int) -> DataFrame:
+    """model_agreement of all pairs of a word's unit vectors, of a model and a kind each, without any pair.
+
+    The sum over pairs of two groups is the product of their sums, so only the sums of groups of a word meet.
+    """
+    groups = units.groupBy("word", model.alias("m"), kind.alias("k")).agg(F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(width)]).alias("s"), F.count("u").alias("n"))
+    a, b = (groups.select("word", *[F.col(c).alias(c + side) for c in "mksn"]) for side in "ab")
+    both = a.join(b, "word").select((F.col("ma") == F.col("mb")).alias("same"), (F.col("ka") == F.col("kb")).alias("alike"), V.dot(F.col("sa"), F.col("sb")).alias("r"), (F.col("na") * F.col("nb")).alias("n"))
+    mean = lambda which: F.try_divide(F.sum(F.when(which, F.col("r"))), F.sum(F.when(which, F.col("n"))))
+    out = both.agg(mean(F.col("same") & ~F.col("alike")).alias("intra"), mean(~F.col("same") & F.col("alike")).alias("inter"))
+    return out.withColumn("difference", F.col("intra") - F.col("inter"))
+
+
 def counts(units: DataFrame) -> DataFrame:
     """Units, aligned ones (some token index), those with a vector, and those without by reason."""
     c = lambda x: F.count_if(x)
@@ -98,22 +111,6 @@ def first_appearance(units: DataFrame, group: str, place: list[str]) -> DataFram
     return first.select(group, (F.row_number().over(W.orderBy("p")) - 1).alias("position"))
 
 
-def histogram(p: DataFrame, bins: int = 20) -> DataFrame:
-    """(word, sim) -> (word, bin, lower, n): equal bins from each word's least to its largest, empty ones left out."""
-    ends = p.groupBy("word").agg(F.min("sim").alias("lo"), F.max("sim").alias("hi"))
-    wide = F.col("hi") > F.col("lo")
-    at = F.when(wide, F.least(F.floor((F.col("sim") - F.col("lo")) / F.when(wide, F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    rows = p.join(ends, "word").select("word", at.alias("bin"), (F.col("lo") + at * (F.col("hi") - F.col("lo")) / bins).alias("lower"))
-    return rows.groupBy("word", "bin").agg(F.min("lower").alias("lower"), F.count(F.lit(1)).alias("n"))
-
-
-def box(p: DataFrame) -> DataFrame:
-    """Least, quartiles and largest similarity of each word."""
-    q = F.percentile("sim", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = p.groupBy("word").agg(F.min("sim").alias("least"), q.alias("q"), F.max("sim").alias("largest"))
-    return out.select("word", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "largest")
-
-
 def conclusion(std: Column, mean: Column) -> Column:
     """polysemous, flexible, controlled or stable, from the labels of variation and coherence."""
     from lexiloom.operators.similarity import coherence_label, variation_label

@@ -75,6 +75,14 @@ def test_extreme_pairs_are_those_of_a_join(units, every, blocks):
     assert text(study.extreme_pairs(S.end_pairs(units))) == text(study.extreme_pairs(every))
 
 
+def test_agreement_without_pairs_is_that_of_pairs(units, every):
+    model, kind = (lambda c: F.col(c) % 2), (lambda c: F.col(c) % 4 >= 2)
+    few = lambda df: df.where("word <> 'zero'")
+    cells = few(every).select(model("i").alias("model_a"), kind("i").alias("kind_a"), model("j").alias("model_b"), kind("j").alias("kind_b"), F.col("sim").alias("r"))
+    same(Y.agreement(few(units), model("idx"), kind("idx"), 5), Y.model_agreement(cells))
+    assert tuple(Y.agreement(units.limit(0), model("idx"), kind("idx"), 5).first()) == (None, None, None)
+
+
 def test_nearest_terms_are_those_of_a_join(units, blocks):
     terms = units.where("word = 'grid' or word = 'zero'").select((F.col("idx") + F.when(F.col("word") == "grid", 0).otherwise(100)).alias("term"), "u")
     q = terms.where("term % 4 = 0")
