@@ -40,17 +40,23 @@ def prepared(lines: DataFrame, steps=T.SAFE_DEFAULTS) -> DataFrame:
     return lines.withColumn("prepared", T.prepare(whole, steps)).withColumn("p_start", start).withColumn("p_end", end)
 
 
-def vectors(units: DataFrame, c: Config) -> DataFrame:
-    """Units with the pooled vector of their occurrence, from a window of max_tokens around it."""
+def vectors(units: DataFrame, c: Config, lean: bool = False) -> DataFrame:
+    """Units with the pooled vector of their occurrence, from a window of max_tokens around it.
+
+    Units are encoded where they are, so neither they nor the vectors of their tokens are shuffled. lean: only doc_id,
+    start, vector and aggregation, for which no more than the tokens of the occurrence are encoded.
+    """
     t = K.tokenize_with(units, c.tokenizer, "prepared") if c.tokenizer else K.tokenize(units, "prepared")
     t = t.withColumn("indices", K.align(F.col("tokens"), F.col("p_start"), F.col("p_end"))).where(F.size("indices") > 0)
     first, last = F.element_at("indices", 1), F.element_at("indices", -1)
     t = t.withColumn("w", K.centre(F.size("tokens"), first, last, c.max_tokens))
     t = t.withColumn("words", F.transform(F.slice("tokens", F.col("w.a") + 1, F.col("w.b") - F.col("w.a")), lambda x: x["text"]))
     t = t.withColumn("indices", F.transform("indices", lambda i: i - F.col("w.a"))).drop("w", "tokens")
-    key = ["doc_id", "start"]
-    encoded = K.encode(t, c.encoder, key, "words", c.layer, c.n_last)
-    return K.aggregate_units(t.join(encoded, key), c.encoder.width, c.pooling)
+    if lean:
+        t = t.select("doc_id", "start", F.col("words").alias("__words"), F.col("indices").alias("__at"))
+        some = K.encode(t, c.encoder, ["doc_id", "start"], "__words", c.layer, c.n_last, "__at").withColumn("indices", F.lit(None).cast("array<int>"))
+        return K.aggregate_units(some, c.encoder.width, c.pooling).select("doc_id", "start", "vector", "aggregation")
+    return K.aggregate_units(K.encode(t.withColumn("__words", F.col("words")), c.encoder, t.columns, "__words", c.layer, c.n_last), c.encoder.width, c.pooling)
 
 
 def run(documents: DataFrame, c: Config, log: TraceLog | None = None) -> dict[str, DataFrame]:
@@ -58,10 +64,12 @@ def run(documents: DataFrame, c: Config, log: TraceLog | None = None) -> dict[st
     log = log if log is not None else TraceLog()
     C.check(c.concordance)
     lines = C.run(documents, c.concordance, log)
-    units = vectors(prepared(lines, c.steps), c)
+    ready = prepared(lines, c.steps)
+    units = vectors(ready, c)
     log.record("vectors", {"layer": c.layer, "pooling": c.pooling, "max_tokens": c.max_tokens})
-    contour = S.contour(units.withColumn("word", F.lit(c.concordance.word)), "word", "doc_id", "start", "vector", ["doc_id", "start"])
-    rows = contour.withColumn("idx", F.concat_ws("|", F.col("doc_id").cast("string"), F.col("start").cast("string")))
+    placed = lambda u: S.contour(u.withColumn("word", F.lit(c.concordance.word)), "word", "doc_id", "start", "vector", ["doc_id", "start"])
+    contour = placed(units)
+    rows = placed(vectors(ready, c, lean=True)).withColumn("idx", F.concat_ws("|", F.col("doc_id").cast("string"), F.col("start").cast("string")))
     m = S.moments(S.unit_rows(rows, "word", "idx", "vector"))
     labels = (S.variance_label(F.col("std") * F.col("std")).alias("variance"), S.variation_label(F.col("std")).alias("variation"), S.coherence_label(F.col("mean")).alias("coherence"))
     log.record("analysis", {"word": c.concordance.word})

@@ -127,3 +127,21 @@ def test_offsets_are_found_in_one_pass_over_a_body(spark):
     d = spark.createDataFrame([(0, body, "s")], "doc_id int, body string, source string")
     got = U.remapped(d, "the").agg(F.count("*"), F.max("start")).first()
     assert tuple(got) == (40_000, 39_999 * 8) and time.perf_counter() - began < 30
+
+
+def test_a_study_encodes_where_its_units_are(spark):
+    """Units met the vectors of all their tokens in a join, each side with the whole concordance below it."""
+    from lexiloom.plans import concordance, study
+    from lexiloom.queries_text import docs as corpus
+
+    c = study.Config(concordance.Config("the", document_strategy=None, n_occurrences=None, occurrence_strategy="exhaustive", per_document=3, window="sentence"))
+    out = study.run(corpus(spark, "/root/testdata/sf0.001"), c)
+    for k, df in out.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1, k
+    (a,) = out["analysis"].collect()
+    x = np.array([r.vector for r in out["units"].select("vector").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = (x @ x.T)[np.triu_indices(len(x), 1)]
+    assert a.n == len(x) and np.isclose(a["mean"], sims.mean()) and np.isclose(a["std"], sims.std())
+    assert out["units"].where("size(token_vectors) <> size(words)").count() == 0
