@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: Words of the documents of a chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def _chunks(words: Iterator[tuple[pa.Array, pa.Array]], most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,34 +93,27 @@ def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_df: i
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     terms = packed.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("chunk", "at")).alias("places")).where(F.col("df") >= min_df)
     terms = terms.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1 if use_idf else F.lit(1.0)).alias("idf"), F.explode("places").alias("p"))
-    told = terms.select("p.chunk", "term", "p.at", "idf")
+    # one row a chunk, as wide as the chunk: rows with lists that are mostly null go to Python far more slowly
+    told = terms.groupBy(F.col("p.chunk").alias("chunk")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "idf", "term")).alias("told"))
     heads = packed.where("term is null").select("chunk", "docs", "d", "t", "tf")
 
-    def weigh(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, idf, names, head = [], [], [], None
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = b.column("at")
-            mine = place.is_valid()
-            at.append(np.asarray(place.filter(mine)))
-            idf.append(np.asarray(b.column("idf").filter(mine)))
-            names.append(b.column("term").filter(mine))
-            for k in np.nonzero(~np.asarray(mine))[0]:
-                head = [b.column(c)[int(k)].values for c in ("docs", "d", "t", "tf")]
-        if head is None:
-            return
-        ids, (d, t, tf) = head[0], (np.asarray(x) for x in head[1:])
-        at, idf, names = np.concatenate(at), np.concatenate(idf), pa.concat_arrays(names)
-        where = np.full(max(t.max(initial=-1), at.max(initial=-1)) + 1, -1)
-        where[at] = np.arange(len(at))
-        some = where[t] >= 0
-        d, t, tf = d[some], where[t[some]], tf[some]
-        w = tf * idf[t]
-        w /= np.sqrt(np.bincount(d, w * w, len(ids)))[d]
-        for low in range(0, len(w), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[part])), names.take(pa.array(t[part])), pa.array(w[part])], names=["doc_id", "term", "w"])
-
-    return told.unionByName(heads, allowMissingColumns=True).groupBy("chunk").applyInArrow(weigh, f"doc_id {kind}, term string, w double")
+            for row in range(b.num_rows):
+                ids, d, t, tf, pieces = (b.column(c)[row].values for c in ("docs", "d", "t", "tf", "told"))
+                (at, idf), names = (np.asarray(pieces.field(c)) for c in ("at", "idf")), pieces.field("term")
+                d, t, tf = (np.asarray(x) for x in (d, t, tf))
+                where = np.full(max(t.max(initial=-1), at.max(initial=-1)) + 1, -1)
+                where[at] = np.arange(len(at))
+                some = where[t] >= 0
+                d, t, tf = d[some], where[t[some]], tf[some]
+                w = tf * idf[t]
+                w /= np.sqrt(np.bincount(d, w * w, len(ids)))[d]
+                for low in range(0, len(w), 1 << 16):
+                    part = slice(low, low + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[part])), names.take(pa.array(t[part])), pa.array(w[part])], names=["doc_id", "term", "w"])
+
+    return heads.join(told.hint("merge"), "chunk").mapInArrow(weigh, f"doc_id {kind}, term string, w double")
 
 
 def documents_from_units(units: DataFrame) -> DataFrame:
