@@ -47,3 +47,19 @@ def test_chunks_hold_whole_documents_and_are_bounded(most):
 def test_no_row_a_document_and_term_is_shuffled(spark):
     plan = A.tfidf(spark.createDataFrame([(1, "aa bb")], "doc_id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(places" in plan and plan.count("Generate") == 1
+
+
+def test_lsa_reads_its_weights_once(spark):
+    """Every product computed the weights anew, with the whole TF-IDF below it."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    w = A.tfidf(spark.createDataFrame([(1, "aa bb"), (2, "bb cc"), (3, "cc dd ee")], "doc_id int, text string"))
+    _, _, s = A.lsa(w.mapInArrow(counted, w.schema), 2, 1, 2)
+    assert len(s) == 2 and seen.value == 7 and w.agg(F.count("*")).first()[0] == 7
